@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import mixing, simhash, urlfilter, warc
+from loopweave.llm import linededup, mixing, quality, simhash, toxicity, urlfilter, warc
 
 #: Rules of the URL filter: verdict, and host with path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -34,9 +34,29 @@ def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_warc_normaliser, op3_url_filter_cascade, op4_cube_mixing)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_warc_normaliser,
+        op3_url_filter_cascade,
+        op4_cube_mixing,
+        op5_toxicity_grammar,
+        op6_quality_discriminant,
+        op7_line_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
