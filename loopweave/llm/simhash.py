@@ -12,7 +12,6 @@ and the bits of the rest are counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations, permutations
 
 import numpy as np
@@ -23,22 +22,9 @@ from pyspark.sql import functions as F
 
 from loopweave.llm.components import connected_components
 from loopweave.llm.storage import materialize
+from loopweave.llm.words import word_blocks
 
 BYTES = 8
-#: Bytes of text that are cut into words at a time.
-BLOCK = 1 << 18
-
-
-def word_blocks(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, ASCII letters lower-cased, block by block."""
-    at = 0
-    while at < len(text):
-        end = at + BLOCK
-        while end < len(text) and not text[end : end + 1].isspace():
-            end += 1
-        yield text[at:end].lower().split()
-        at = end
-
 
 def fingerprint(text: bytes, words: int) -> int:
     """The SimHash of a text's word shingles, as a signed 64-bit number.
@@ -47,7 +33,7 @@ def fingerprint(text: bytes, words: int) -> int:
     shingle has one shingle of them all.
     """
     ones, total, tail = np.zeros(64, np.int64), 0, []
-    for block in word_blocks(text):
+    for block in word_blocks(text.lower()):
         tail += block
         n = len(tail) - words + 1
         if n > 0:
