@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import linededup, media, mixing, packing, quality, simhash, toxicity, urlfilter, warc
+from loopweave.llm import embeddings, linededup, media, mixing, packing, quality, simhash, toxicity, urlfilter, warc
 
 #: Rules of the URL filter: verdict, and host with path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -46,6 +46,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(_read(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity_grammar,
         op6_quality_discriminant,
         op7_line_dedup,
+        op8_cross_polytope,
         op9_media_chunks,
         op10_best_fit_packing,
     )
