@@ -23,12 +23,14 @@ LEAST_CHARS = 20
 EDITS, CHARS_PER_EDIT = 2, 20
 #: Rows up to which a table of two longs may be broadcast: 64 MB.
 BROADCAST_ROWS = 4_000_000
+#: Letters whose counts are compared before lines are: common ones in many languages.
+LETTERS = "eaintorshludcm "
 #: A document's number and a line's place in it make one number: doc * PLACES + place.
 PLACES = 1 << 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, pos, line)`` for each line that may be removed.
+    """``(doc_id, text_hash, pos, line, n)`` for each line that may be removed, ``n`` being its length.
 
     ``text_hash`` tells rows with the same ``doc_id`` apart.  Documents without
     an id come after all others.
@@ -36,7 +38,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
-    return rows.where(F.length("line") >= LEAST_CHARS)
+    return rows.withColumn("n", F.length("line")).where(F.col("n") >= LEAST_CHARS)
 
 
 def _place(doc: Column, pos: Column) -> Column:
@@ -69,22 +71,20 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys_of(line: Column, edits: int) -> Column:
-    """The keys of a line: ``(key, own)`` with ``own`` for those it is posted under."""
-    n, parts = F.length(line), edits + 1
+def keyed_lines(rows: DataFrame, edits: int) -> DataFrame:
+    """``(id, key, own)`` of rows ``(id, line, n)``: each line's keys, ``own`` for those it is posted under.
 
-    def key(i: int, short: int, shift: int) -> Column:
-        of = n - short
-        size = F.floor(of / parts).cast("int")
-        longer = of - size * parts
-        # The last segments are one longer where the length isn't a multiple.
-        start = size * i + F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-        width = size + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        part = F.substring(line, (start + shift + 1).cast("int"), width.cast("int"))
-        fits = (start + shift >= 0) & (start + shift + width <= n)
-        return F.struct(F.when(fits, F.xxhash64(F.lit(i), of, part)).alias("key"), F.lit(short == 0 and shift == 0).alias("own"))
-
-    return F.array(*(key(*p) for p in probes(edits)))
+    The ways to look a line up are exploded first, so that one short expression
+    makes all keys; one that spells out every way is too long for the JIT compiler.
+    """
+    ways = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(short).alias("short"), F.lit(shift).alias("shift")) for i, short, shift in probes(edits)))
+    parts = edits + 1
+    each = rows.select("id", "line", "n", F.explode(ways).alias("way")).select("id", "line", "n", "way.*")
+    each = each.selectExpr("*", f"cast((n - short) div {parts} as int) AS size", f"(n - short) % {parts} AS longer")
+    # The last segments are one longer where the length isn't a multiple.
+    each = each.selectExpr("*", f"size * i + greatest(0, i - ({parts} - longer)) + shift AS start", f"size + if(i >= {parts} - longer, 1, 0) AS width")
+    each = each.where("start >= 0 and start + width <= n")
+    return each.selectExpr("id", "xxhash64(i, n - short, substring(line, start + 1, width)) AS key", "short = 0 and shift = 0 AS own")
 
 
 def _bind(value: Column, use) -> Column:
@@ -126,6 +126,12 @@ def band_distance(a: Column, b: Column, edits: int) -> Column:
     return _bind(chars, steps)
 
 
+def letter_counts(line: Column) -> list[Column]:
+    """How often a line has each of LETTERS, whatever their case."""
+    n = F.length(line)
+    return [n - F.length(F.translate(line, "".join({x, x.upper()}), "")) for x in LETTERS]
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast, if it has been counted and is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -138,31 +144,40 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFr
     each CHARS_PER_EDIT characters of the shorter one.
     """
     spark = docs.sparkSession
-    rows = lines_of(docs).where(F.length("line") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), "line")
-    keyed = rows.select("id", F.explode(keys_of(F.col("line"), edits)).alias("k")).select("id", "k.key", "k.own").where("key is not null")
+    rows = lines_of(docs).where(F.col("n") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), "line", "n")
+    keyed = keyed_lines(rows, edits)
     # Only keys that two lines have are of use, and only if one is posted there.
-    met = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
+    # Half an id tells lines apart here: under one key it fails once in 2 ** 32 pairs.
+    half = F.col("id").bitwiseAND(F.lit(2**32 - 1))
+    met = keyed.select("key", half.alias("half"), "own").groupBy("key").agg(F.min("half").alias("low"), F.max("half").alias("high"), F.max("own").alias("own"))
     met = materialize(met.where("low <> high and own").select("key"), "met-keys")
     posted = materialize(keyed.join(_small(met), "key").distinct(), "postings")
     order = materialize(posted.select("id").distinct().join(firsts.groupBy("id").agg(F.min("place").alias("place")), "id"), "line-order")
     texts = rows.join(_small(order.select("id")), "id").groupBy("id").agg(F.first("line").alias("line"))
-    texts = materialize(texts.join(order, "id"), "line-texts")
+    texts = texts.join(order, "id").select("*", F.length("line").alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(letter_counts(F.col("line")))))
+    texts = materialize(texts, "line-texts")
     pairs = posted.where("own").select("key", F.col("id").alias("a")).join(posted.select("key", F.col("id").alias("b")), "key").where("a <> b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    named = _small(texts) if texts.count() * 2000 < BROADCAST_ROWS else texts
-    both = pairs.join(named.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("place").alias("pa")), "a").join(
-        named.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("place").alias("pb")), "b"
-    )
-    swap = F.length("la") < F.length("lb")
+    counts = [f"c{i}" for i in range(len(LETTERS))]
+    facts = texts.select("id", "place", "n", *counts)
+    both = pairs.join(facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns)), F.col("a") == F.col("a_id"))
+    both = both.join(facts.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns)), F.col("b") == F.col("b_id"))
+    limit = F.least(F.lit(edits), F.floor(F.least("a_n", "b_n") / CHARS_PER_EDIT))
+    # An edit changes the count of one or two letters by one.
+    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts), F.lit(0))
+    both = both.where((F.abs(F.col("a_n") - F.col("b_n")) <= limit) & (apart <= 2 * limit))
+    later, longer = F.col("a_place") > F.col("b_place"), F.col("a_n") >= F.col("b_n")
+    pick = lambda test, x, y: F.when(test, F.col(x)).otherwise(F.col(y))
     both = both.select(
-        F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id"),
-        F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("of"),
-        F.when(swap, F.col("lb")).otherwise(F.col("la")).alias("long"),
-        F.when(swap, F.col("la")).otherwise(F.col("lb")).alias("short"),
+        pick(later, "a", "b").alias("id"), pick(later, "b", "a").alias("of"), pick(longer, "a", "b").alias("long_id"), pick(longer, "b", "a").alias("short_id"), limit.alias("limit")
     )
-    limit = F.least(F.lit(edits), F.floor(F.length("short") / CHARS_PER_EDIT))
-    both = both.where(F.length("long") - F.length("short") <= limit).repartition(max(8, spark.sparkContext.defaultParallelism * 2))
-    return both.where(band_distance(F.col("long"), F.col("short"), edits) <= limit).select("id", "of")
+    likely = materialize(both, "likely-pairs")
+    ids = _small(likely.select(F.explode(F.array("long_id", "short_id")).alias("id")).distinct())
+    named = materialize(texts.join(ids, "id").select("id", "line"), "likely-lines")
+    likely = likely.join(named.select(F.col("id").alias("long_id"), F.col("line").alias("long")), "long_id")
+    likely = likely.join(named.select(F.col("id").alias("short_id"), F.col("line").alias("short")), "short_id")
+    likely = likely.repartition(4 * spark.sparkContext.defaultParallelism, "id", "of")
+    return likely.where(band_distance(F.col("long"), F.col("short"), edits) <= F.col("limit")).select("id", "of")
 
 
 def kept_places(docs: DataFrame, edits: int = EDITS) -> DataFrame:
