@@ -51,7 +51,7 @@ def id_candidates(value: Column) -> Column:
     parts = F.filter(F.split(whole, r"\|"), lambda x: x != "")
     barred = F.when(F.contains(whole, F.lit("|")) & (F.size(parts) > 0), F.concat(parts, F.array(F.element_at(parts, -1), F.element_at(parts, 1))))
     found = F.concat(F.array(whole), F.slice(tokens(whole), 1, 1), F.coalesce(barred, F.array().cast("array<string>")))
-    kept = F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    kept = F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.coalesce(whole, F.lit("")) != "", kept).otherwise(F.array().cast("array<string>"))
 
 
@@ -73,7 +73,7 @@ def country(text: Column) -> Column:
 def isolate_tags(text: Column) -> Column:
     """Isolate names in a text, by pattern and then by place, each once, joined by semicolons."""
     hits = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i){p}"), F.lit(1)) for p in ISOLATES)))
-    return F.array_join(F.array_distinct(F.filter(F.transform(hits, F.trim), lambda x: x != "")), ";")
+    return F.array_join(F.array_distinct(F.filter(F.transform(hits, lambda x: F.trim(x)), lambda x: x != "")), ";")
 
 
 def tip_to_accession(tip: Column) -> Column:

@@ -347,7 +347,7 @@ def A18_near_fraction(spark, sf_dir):
 @query("""WITH h AS (SELECT doc_id, regexp_split_to_array(text, '\\n')[1] AS header FROM documents),
     k AS (SELECT doc_id, header, list_filter(regexp_split_to_array(header, '\\s+'), lambda x: x <> '') AS toks FROM h),
     f AS (SELECT doc_id, coalesce(toks[1], '') AS id, CAST(greatest(len(toks) - 1, 0) AS INTEGER) AS extra_tokens, CAST(regexp_matches(coalesce(toks[1], ''), '^[A-Z]{1,4}\\d{5,10}(\\.\\d+)?$') AS INTEGER) AS accession_like,
-          CAST(regexp_matches(header, '\\b[A-Z][a-z]{2,}\\s+[a-z]{2,}\\b') AS INTEGER) AS species_like,
+          CAST(regexp_matches(header, '(^|[^\\p{L}\\p{N}_])[A-Z][a-z]{2,}\\s+[a-z]{2,}([^\\p{L}\\p{N}_]|$)') AS INTEGER) AS species_like,
           CAST(regexp_matches(lower(header), 'country|strain|isolate|host|location|collected|isolation|geo|region') AS INTEGER) AS has_keywords, CAST(regexp_matches(header, '[|;/\\[\\](){}]') AS INTEGER) AS has_delims FROM k),
     s AS (SELECT *, CAST(extra_tokens + 2 * has_delims + 2 * has_keywords + 2 * species_like + accession_like AS INTEGER) AS score FROM f)
     SELECT *, CASE WHEN score >= 6 THEN 'strong' WHEN score >= 2 THEN 'some' ELSE 'id_only' END AS level FROM s""")
