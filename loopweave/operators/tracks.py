@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-_BY = W.Window.partitionBy("name").orderBy("start")
-_ALL = W.Window.partitionBy("name")
+
+def _by() -> W.WindowSpec:
+    return W.Window.partitionBy("name").orderBy("start")
 
 
 def mosaic_summary(tracks: DataFrame, circular: bool = True) -> DataFrame:
@@ -22,8 +23,8 @@ def mosaic_summary(tracks: DataFrame, circular: bool = True) -> DataFrame:
     The dominant label is the smallest of the commonest.  A circular track's last
     window is next to its first; a track of one window has no boundary.
     """
-    first = F.first("label").over(_BY.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
-    before = F.lag("label").over(_BY)
+    first = F.first("label").over(_by().rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
+    before = F.lag("label").over(_by())
     last = F.row_number().over(W.Window.partitionBy("name").orderBy(F.desc("start"))) == 1
     marked = tracks.select("name", "start", "label", before.alias("before"), first.alias("first"), last.alias("last"))
     turn = F.col("before").isNotNull() & (F.col("before") != F.col("label"))
@@ -78,9 +79,9 @@ def runs(tracks: DataFrame, circular: bool = True) -> DataFrame:
 
     In a circular track the run over the origin is one, and the last.
     """
-    change = F.coalesce((F.lag("label").over(_BY) != F.col("label")).cast("int"), F.lit(0))
-    rows = tracks.withColumns({"change": change, "idx": F.row_number().over(_BY) - 1})
-    rows = rows.withColumn("run", F.sum("change").over(_BY.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)))
+    change = F.coalesce((F.lag("label").over(_by()) != F.col("label")).cast("int"), F.lit(0))
+    rows = tracks.withColumns({"change": change, "idx": F.row_number().over(_by()) - 1})
+    rows = rows.withColumn("run", F.sum("change").over(_by().rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)))
     spans = rows.groupBy("name", "run").agg(
         F.first("label").alias("label"),
         F.count("*").alias("windows"),
