@@ -137,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
     # Very large and very small vectors are scaled, so that squares neither overflow nor vanish.
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(good, v).alias("vec"))
-    top = F.array_max(F.transform("vec", F.abs))
+    top = F.array_max(F.transform("vec", lambda c: F.abs(c)))
     rows = rows.withColumn("vec", F.when((top > 1e100) | (top < 1e-100), F.transform("vec", lambda c: c / top)).otherwise(F.col("vec")))
     rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     keys = ["label", "h1", "h2"]
