@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = ":".join(filter(None, (HERE, os.environ.get("PYTHONPA
 def spark():
     from loopweave.session import local_session
 
-    session = local_session(cores=4, partitions=4, memory="4g")
+    session = local_session(cores=4, partitions=2, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
