@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,46 +30,70 @@ from loopweave.llm.words import word_blocks
 LENGTH, END_ID = 4096, 1
 #: Bins that may be open, and pieces that a group is to have.
 OPEN, GROUP = 256, 1 << 14
-#: Words whose ids are remembered, and how long they may be.
-WORDS, WORD_BYTES = 400_000, 48
-#: Documents whose new words are tokenized together.
-TOGETHER = 64
+#: Stems whose ids are remembered, and how long they may be.
+WORDS, WORD_BYTES = 600_000, 48
+#: Marks that may be taken off a word's end; apostrophes aren't, as the tokenizer joins them to letters.
+MARKS = b".,;:!?*$%&#|)]}>"
+#: Documents that are tokenized together, and bytes from which one is tokenized alone, block by block.
+TOGETHER, LONG = 128, 1 << 20
 
 
 class WordTokenizer:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and never joins what it parts, so a text's
-    ids are those of its words, and a word that has been seen needs no second look.
+    ids are those of its words.  It also folds case, and parts letters and digits
+    from the marks after them, so a word's ids are those of its stem and of its
+    marks; these are remembered.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.ids: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: b"".join(i.to_bytes(4, "little") for i in x.ids) for w, x in zip(words, found, strict=True)}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remember new words, all at once."""
-        new = [w for w in words if w not in self.ids and len(w) <= WORD_BYTES]
+        names = self.model.get_vocab(with_added_tokens=False)
+        #: Whether an id ends a run of letters.
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[bytes]) -> None:
+        texts = {x: x.decode("utf-8", "replace").lower() for x in parts}
+        # A run of letters is one unit, so the ids of many of them can be told apart when they are made at once.
+        runs = [x for x, text in texts.items() if text.isalpha()]
+        for low in range(0, len(runs), 4096):
+            some = runs[low : low + 4096]
+            data = self._encode([" ".join(texts[x] for x in some)])[0]
+            at = [0, *((np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4).tolist()]
+            if len(at) == len(some) + 1:
+                self.known.update(zip(some, (data[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
+        rest = [x for x in parts if x not in self.known]
+        self.known.update(zip(rest, self._encode([texts[x] for x in rest]), strict=True))
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of a set of words, as little-endian 32-bit numbers."""
+        if len(self.known) > WORDS:
+            self.known = {b"": b""}
+        parts = {}
+        for w in words:
+            low = w.lower()
+            stem = low.rstrip(MARKS)
+            if stem and len(stem) < len(low) and (stem[-1:].isalnum() or stem.decode("utf-8", "replace").lower()[-1].isalnum()):
+                parts[w] = (stem, low[len(stem) :])
+            else:
+                parts[w] = (low, b"")
+        known = self.known
+        new = {x for pair in parts.values() for x in pair if x not in known}
         if new:
-            if len(self.ids) + len(new) > WORDS:
-                self.ids.clear()
-                new = [w for w in words if len(w) <= WORD_BYTES]
-            self.ids |= self._encode(new)
-
-    def encode(self, words: list[bytes]) -> bytes:
-        """The ids of words, as little-endian 32-bit numbers."""
-        ids = self.ids
-        try:
-            return b"".join([ids[w] for w in words])
-        except KeyError:
-            more = self._encode([w for w in {*words} if w not in ids])
-            return b"".join([ids.get(w) or more.get(w, b"") for w in words])
+            self._learn(new)
+        found = {w: known[stem] + known[marks] for w, (stem, marks) in parts.items()}
+        for x in new:
+            if len(x) > WORD_BYTES:
+                del known[x]
+        return found
 
 
 @cache
@@ -75,11 +101,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def pieces_of(blocks, model: WordTokenizer, length: int, end_id: int) -> list[tuple[int, int]]:
-    """``(tokens, crc32 of their ids)`` of each piece of a document."""
+def pieces_of(ids: Iterable[bytes], length: int, end_id: int) -> list[tuple[int, int]]:
+    """``(tokens, crc32 of their ids)`` of each piece of a document whose ids come in blocks."""
     out, held = [], b""
-    for block in blocks:
-        held += model.encode(block)
+    for block in ids:
+        held += block
         at = 0
         while len(held) - at > 4 * length:
             out.append((length, zlib.crc32(held[at : at + 4 * length])))
@@ -92,6 +118,20 @@ def pieces_of(blocks, model: WordTokenizer, length: int, end_id: int) -> list[tu
     return out
 
 
+def token_ids(texts: list[bytes], model: WordTokenizer) -> Iterator[Iterable[bytes]]:
+    """Each text's ids, in blocks: those of short texts together, those of a long one as they are asked for."""
+    short = [x.split() if len(x) <= LONG else None for x in texts]
+    ids = model.learn({w for words in short for w in words or ()})
+
+    def blocks(text: bytes) -> Iterator[bytes]:
+        for words in word_blocks(text):
+            found = model.learn({*words})
+            yield b"".join([found[w] for w in words])
+
+    for text, words in zip(texts, short, strict=True):
+        yield blocks(text) if words is None else [b"".join([ids[w] for w in words])]
+
+
 def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each document's pieces; a null text is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -101,12 +141,10 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for low in range(0, batch.num_rows, TOGETHER):
+                some = [x.as_py() or b"" for x in texts[low : low + TOGETHER]]
                 found: list[tuple] = []
-                part = [list(word_blocks(x.as_py() or b"")) if len(x.as_py() or b"") <= 1 << 20 else None for x in texts[low : low + TOGETHER]]
-                model.learn({w for blocks in part for block in blocks or () for w in block})
-                for i, blocks in enumerate(part):
-                    cut = pieces_of(word_blocks(texts[low + i].as_py()) if blocks is None else blocks, model, length, end_id)
-                    found += [(low + i, n, n * length, size, crc) for n, (size, crc) in enumerate(cut)]
+                for i, ids in enumerate(token_ids(some, model)):
+                    found += [(low + i, n, n * length, size, crc) for n, (size, crc) in enumerate(pieces_of(ids, length, end_id))]
                 at, *rest = zip(*found, strict=True)
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 columns = [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))]
