@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -9,6 +10,8 @@ from loopweave.llm import linededup, mixing
 
 
 def distance(a, b):
+    same = len(os.path.commonprefix([a, b]))  # costs no edits
+    a, b = a[same:], b[same:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
