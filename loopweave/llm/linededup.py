@@ -25,6 +25,8 @@ EDITS, CHARS_PER_EDIT = 2, 20
 BROADCAST_ROWS = 4_000_000
 #: Letters whose counts are compared before lines are: common ones in many languages.
 LETTERS = "eaintorshludcm "
+#: Segments of a pair's longer line that are looked for in the other one before their distance is worked out.
+SEGMENTS = 12
 #: A document's number and a line's place in it make one number: doc * PLACES + place.
 PLACES = 1 << 32
 
@@ -126,6 +128,17 @@ def band_distance(a: Column, b: Column, edits: int) -> Column:
     return _bind(chars, steps)
 
 
+def segments_found(a: Column, b: Column, edits: int, parts: int) -> Column:
+    """How many of ``parts`` segments of ``a`` stand in ``b``, moved by ``edits`` characters at most; an edit can spoil one."""
+    size = F.length(a)
+    found = F.lit(0)
+    for i in range(parts):
+        start, end = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
+        low = F.greatest(F.lit(0), start - edits)
+        found = found + F.contains(F.substr(b, low + 1, end + edits - low), F.substr(a, start + 1, end - start)).cast("int")
+    return found
+
+
 def letter_counts(line: Column) -> list[Column]:
     """How often a line has each of LETTERS, whatever their case."""
     n = F.length(line)
@@ -137,27 +150,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(id, of)``: distinct lines, and the earlier ones that they are within the threshold of.
-
-    Two lines are near if their distance is at most ``edits`` and at most one for
-    each CHARS_PER_EDIT characters of the shorter one.
-    """
-    spark = docs.sparkSession
-    rows = lines_of(docs).where(F.col("n") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), "line", "n")
-    keyed = keyed_lines(rows, edits)
-    # Only keys that two lines have are of use, and only if one is posted there.
-    # Half an id tells lines apart here: under one key it fails once in 2 ** 32 pairs.
-    half = F.col("id").bitwiseAND(F.lit(2**32 - 1))
-    met = keyed.select("key", half.alias("half"), "own").groupBy("key").agg(F.min("half").alias("low"), F.max("half").alias("high"), F.max("own").alias("own"))
-    met = materialize(met.where("low <> high and own").select("key"), "met-keys")
-    posted = materialize(keyed.join(_small(met), "key").distinct(), "postings")
-    order = materialize(posted.select("id").distinct().join(firsts.groupBy("id").agg(F.min("place").alias("place")), "id"), "line-order")
-    texts = rows.join(_small(order.select("id")), "id").groupBy("id").agg(F.first("line").alias("line"))
-    texts = texts.join(order, "id").select("*", F.length("line").alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(letter_counts(F.col("line")))))
-    texts = materialize(texts, "line-texts")
-    pairs = posted.where("own").select("key", F.col("id").alias("a")).join(posted.select("key", F.col("id").alias("b")), "key").where("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """``(id, of)`` of those pairs ``(a, b)`` that are near, ``id`` being the line that stands later."""
     counts = [f"c{i}" for i in range(len(LETTERS))]
     facts = texts.select("id", "place", "n", *counts)
     both = pairs.join(facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns)), F.col("a") == F.col("a_id"))
@@ -176,10 +170,51 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFr
     named = materialize(texts.join(ids, "id").select("id", "line"), "likely-lines")
     likely = likely.join(named.select(F.col("id").alias("long_id"), F.col("line").alias("long")), "long_id")
     likely = likely.join(named.select(F.col("id").alias("short_id"), F.col("line").alias("short")), "short_id")
-    likely = likely.repartition(4 * spark.sparkContext.defaultParallelism, "id", "of")
+    likely = likely.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "id", "of")
+    # Segments are looked for first, as that costs little; only then is the distance worked out.
+    likely = likely.where(segments_found(F.col("long"), F.col("short"), edits, SEGMENTS) >= SEGMENTS - F.col("limit"))
     return likely.where(band_distance(F.col("long"), F.col("short"), edits) <= F.col("limit")).select("id", "of")
 
 
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``(id, of)``: distinct lines that are near an earlier one, each with one such line at least.
+
+    Two lines are near if their distance is at most ``edits`` and at most one for
+    each CHARS_PER_EDIT characters of the shorter one.  First a posting's members
+    are compared with its earliest one; that settles the lines of a large family
+    with as many pairs as it has lines.  Only lines that are near none of those
+    are then compared with all that stand before them in a posting.
+    """
+    rows = lines_of(docs).where(F.col("n") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), "line", "n")
+    keyed = keyed_lines(rows, edits)
+    # Only keys that two lines have are of use, and only if one is posted there.
+    # Half an id tells lines apart here: under one key it fails once in 2 ** 32 pairs.
+    half = F.col("id").bitwiseAND(F.lit(2**32 - 1))
+    met = keyed.select("key", half.alias("half"), "own").groupBy("key").agg(F.min("half").alias("low"), F.max("half").alias("high"), F.max("own").alias("own"))
+    met = materialize(met.where("low <> high and own").select("key"), "met-keys")
+    posted = materialize(keyed.join(_small(met), "key").distinct(), "postings")
+    order = materialize(posted.select("id").distinct().join(firsts.groupBy("id").agg(F.min("place").alias("place")), "id"), "line-order")
+    texts = rows.join(_small(order.select("id")), "id").groupBy("id").agg(F.first("line").alias("line"))
+    texts = texts.join(order, "id").select("*", F.length("line").alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(letter_counts(F.col("line")))))
+    texts = materialize(texts, "line-texts")
+    placed = materialize(posted.groupBy("key", "id").agg(F.max("own").alias("own")).join(_small(order), "id"), "placed")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        """A line and an earlier one that it meets: one of them at least is posted under their key."""
+        left, right = left.select("key", *(F.col(c).alias(f"l_{c}") for c in ("id", "own", "place"))), right.select("key", "id", "own", "place")
+        met = left.join(right, "key").where((F.col("l_own") | F.col("own")) & (F.col("l_place") > F.col("place")))
+        return materialize(met.select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
+
+    one = F.struct("place", "id")
+    heads = placed.groupBy("key").agg(F.min(one).alias("any"), F.min(F.when(F.col("own"), one)).alias("posted"))
+    heads = heads.select("key", F.col("any.*"), (F.col("any.id") == F.col("posted.id")).alias("own")).unionByName(
+        heads.where("any.id <> posted.id").select("key", F.col("posted.*"), F.lit(True).alias("own"))
+    )
+    settled = materialize(_verified(pairs(placed, heads), texts, edits), "near-first")
+    open_ = placed.join(settled.select("id").distinct(), "id", "left_anti")
+    return settled.unionByName(_verified(pairs(open_, placed), texts, edits))
+
+
 def kept_places(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``(doc_id, text_hash, kept)``: the places of those of a document's lines that stand nowhere before."""
     firsts = materialize(first_lines(lines_of(docs)), "first-lines")
