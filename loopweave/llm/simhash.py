@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import connected_components
+from loopweave.llm.shingles import near_copies
 from loopweave.llm.storage import materialize
 from loopweave.llm.words import word_blocks
 
@@ -149,12 +150,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest id.
 
-    Rows without a ``doc_id`` stay, as nothing tells them apart; rows that
-    repeat a kept document's id stay with it.
+    Fingerprints that differ in four bits miss most pairs at a Jaccard
+    similarity of 0.8, so groups are those of the shingles themselves.  Rows
+    without a ``doc_id`` stay, as nothing tells them apart, and link no others;
+    rows that repeat a kept document's id stay with it.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
+    found = near_copies(docs, words)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
