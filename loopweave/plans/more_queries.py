@@ -19,11 +19,11 @@ def P7_P8_fragments(spark, sf_dir):
     return A.genomes(spark, sf_dir).select("name", *(F.md5(v.cast("binary")).alias(k) for k, v in parts.items()))
 
 
-@query("""WITH x AS (SELECT doc_id, upper(substr(regexp_replace(text, '[^A-Za-z*]', '*', 'g'), 1, 80)) AS s FROM documents)
-    SELECT doc_id, nullif(regexp_replace(regexp_replace(s, '\\*$', ''), '[^ACDEFGHIKLMNPQRSTVWYBXZJUO-]', 'X', 'g'), '') AS protein FROM x""")
+@query("""WITH x AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z*]', '*', 'g')) AS s FROM documents), y AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(s, '\\*$', ''), '[^ACDEFGHIKLMNPQRSTVWYBXZJUO-]', 'X', 'g'), '') AS protein FROM x)
+    SELECT doc_id, CAST(length(protein) AS INTEGER) AS n, md5(protein) AS protein_md5 FROM y""")
 def P9_sanitize_protein(spark, sf_dir):
-    letters = F.substring(F.regexp_replace("text", "[^A-Za-z*]", "*"), 1, 80)
-    return A.read(spark, sf_dir, "documents").select("doc_id", S.sanitize_protein(letters).alias("protein"))
+    protein = S.sanitize_protein(F.regexp_replace("text", "[^A-Za-z*]", "*"))
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.length(protein).alias("n"), F.md5(protein.cast("binary")).alias("protein_md5"))
 
 
 @query("SELECT event_id, regexp_extract(event_type || '|k=' || user_id || '|v=x', 'k=([^|]*)', 1) AS k, 'x' AS v FROM events")
