@@ -35,10 +35,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as aligned rows ``(name, seq)``: letters of their text, cut and filled to 60."""
+    """Benchmark items as aligned rows ``(name, seq)``: letters of their text, filled with gaps to the longest one."""
     items = read(spark, sf_dir, "benchmark")
     letters = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "-")), "[^ACDEFGHIKLMNPQRSTVWY]", "-")
-    return items.select(F.concat(F.lit("ref"), F.col("item_id").cast("string")).alias("name"), F.rpad(F.substring(letters, 1, 60), 60, "-").alias("seq"))
+    rows = items.select(F.concat(F.lit("ref"), F.col("item_id").cast("string")).alias("name"), letters.alias("seq"))
+    longest = rows.agg(F.max(F.length("seq")).alias("width"))
+    return rows.join(F.broadcast(longest)).select("name", F.rpad("seq", F.col("width"), F.lit("-")).alias("seq"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,6 @@ PANEL = "p AS (SELECT 'ref' || CAST(item_id AS VARCHAR) AS name, regexp_replace(
 TRACKS = """t AS (SELECT CAST(user_id AS VARCHAR) AS name, event_type AS label,
     CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 10 AS INTEGER) AS start,
     CAST(count(*) OVER (PARTITION BY user_id) * 10 AS INTEGER) AS genome_len FROM events)"""
-PROTEINS = """a AS (SELECT 'ref' || CAST(item_id AS VARCHAR) AS name,
-    rpad(substr(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '-', 'g'), 1, 60), 60, '-') AS seq FROM benchmark)"""
+PROTEINS = """l AS (SELECT 'ref' || CAST(item_id AS VARCHAR) AS name, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '-', 'g') AS letters FROM benchmark),
+    a AS (SELECT name, rpad(letters, CAST((SELECT max(length(letters)) FROM l) AS INTEGER), '-') AS seq FROM l)"""
 POINTS = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"

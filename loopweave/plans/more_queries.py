@@ -98,19 +98,19 @@ def G5_codons(spark, sf_dir):
     return each.groupBy("strand", (F.col("i") % 3).alias("frame"), F.substring("s", F.col("i") + 1, F.lit(3)).cast("string").alias("codon")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {A.PROTEINS} SELECT name, CAST(i AS INTEGER) AS col, substr(seq, CAST(i + 1 AS INTEGER), 1) AS res FROM (SELECT name, seq, unnest(range(0, 60)) AS i FROM a)")
+@query(f"WITH {A.PROTEINS} SELECT name, CAST(i AS INTEGER) AS col, substr(seq, CAST(i + 1 AS INTEGER), 1) AS res FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM a)")
 def G7_alignment_columns(spark, sf_dir):
     return alignment.columns_of(A.proteins(spark, sf_dir))
 
 
-@query(f"""WITH {A.PROTEINS}, c AS (SELECT name, i, substr(seq, CAST(i + 1 AS INTEGER), 1) AS r FROM (SELECT name, seq, unnest(range(0, 60)) AS i FROM a)),
+@query(f"""WITH {A.PROTEINS}, c AS (SELECT name, i, substr(seq, CAST(i + 1 AS INTEGER), 1) AS r FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM a)),
     m AS (SELECT x.name AS a, y.name AS b, count(*) AS compared, sum(CASE WHEN x.r = y.r THEN 1 ELSE 0 END) AS same FROM c x JOIN c y ON x.i = y.i AND x.name < y.name WHERE x.r NOT IN ('-', '.', 'X', '?') AND y.r NOT IN ('-', '.', 'X', '?') GROUP BY 1, 2)
     SELECT x.name AS a, y.name AS b, CAST(coalesce(compared, 0) AS INTEGER) AS compared, round(1 - same / CAST(compared AS DOUBLE), 6) + 0.0 AS dist FROM a x JOIN a y ON x.name < y.name LEFT JOIN m ON m.a = x.name AND m.b = y.name""")
 def A15_identity_distance(spark, sf_dir):
     return rounded(alignment.identity_distance(A.proteins(spark, sf_dir)))
 
 
-@query(f"""WITH {A.PROTEINS}, c AS (SELECT name, i, substr(seq, CAST(i + 1 AS INTEGER), 1) AS r FROM (SELECT name, seq, unnest(range(0, 60)) AS i FROM a)), k AS (SELECT i FROM c GROUP BY i HAVING avg(CASE WHEN r = '-' THEN 1.0 ELSE 0.0 END) <= 0.2),
+@query(f"""WITH {A.PROTEINS}, c AS (SELECT name, i, substr(seq, CAST(i + 1 AS INTEGER), 1) AS r FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM a)), k AS (SELECT i FROM c GROUP BY i HAVING avg(CASE WHEN r = '-' THEN 1.0 ELSE 0.0 END) <= 0.2),
     t AS (SELECT name, string_agg(r, '' ORDER BY c.i) AS seq FROM c JOIN k ON k.i = c.i GROUP BY name) SELECT a.name, coalesce(t.seq, '') AS seq FROM a LEFT JOIN t ON t.name = a.name""")
 def A16_gap_trim(spark, sf_dir):
     return alignment.trim_gaps(A.proteins(spark, sf_dir), 0.2)

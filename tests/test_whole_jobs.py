@@ -25,3 +25,14 @@ def test_whole_texts_are_sanitised(spark, tmp_path):
     got = {r[0]: r[1:] for r in equals_sql(spark, tmp_path, "P9_sanitize_protein", ["documents"])}
     assert got[0] == (203, hashlib.md5(("ABXX" * 50 + "END").encode()).hexdigest())
     assert got[3][0] == 84 and got[1] == got[2] == (None, None)
+
+
+def test_aligned_rows_are_as_wide_as_the_longest_text(spark, tmp_path):
+    texts = ["ACDEFGHIKL" * 7 + "WYV", "ACDEFGHIKL" * 7 + "WYA", "ACDEFGHIKL" * 6, "MKV lit"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cells = equals_sql(spark, tmp_path, "G7_alignment_columns", ["benchmark"])
+    assert len(cells) == 4 * 73 and ("ref0", 72, "V") in cells and ("ref2", 72, "-") in cells
+    pairs = {r[:2]: r[2:] for r in equals_sql(spark, tmp_path, "A15_identity_distance", ["benchmark"])}
+    assert pairs["ref0", "ref1"] == (73, round(1 / 73, 6))
+    equals_sql(spark, tmp_path, "A16_gap_trim", ["benchmark"])
+    assert M.C6_bootstrap_support(spark, str(tmp_path)).count() > 0
