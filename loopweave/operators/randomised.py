@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from loopweave.kernels.trees import MOST
 
-#: Values that a two-sample test may have: what is broadcast to its tasks.
-VALUES = 2_000_000
+#: Distinct values of a two-sample test that a task draws for at a time, and replicates.
+BLOCK, REPLICATES = 1 << 15, 50
 
 
 def replicates(spark: SparkSession, n: int, draw: Callable[[np.random.Generator], float], seed: int) -> DataFrame:
@@ -76,27 +76,68 @@ def mantel(m1: DataFrame, m2: DataFrame, permutations: int, rank: bool = True, s
 def two_sample(df: DataFrame, flag: str, value: str, permutations: int, median: bool = False, seed: int = 0) -> DataFrame:
     """One row: the difference of means (or medians) of flagged rows and the others, and its two-sided p.
 
-    Null where either side has fewer than two finite values.
+    Null where either side has fewer than two finite values.  Equal values are
+    counted, and the counts dealt out in blocks of neighbouring values: each
+    replicate draws how many flags fall in each block, and a task draws how many
+    of its block's fall on each value.  At most 10 ** 9 values.
     """
-    v = df.select(F.col(flag).alias("f"), F.col(value).cast("double").alias("v")).where("f is not null and v is not null and not isnan(v) and abs(v) < double('inf')")
-    rows = v.limit(VALUES + 1).toPandas()
-    if len(rows) > VALUES:
-        raise ValueError(f"the test has more than {VALUES} values")
-    top, x = rows["f"].to_numpy(bool), rows["v"].to_numpy(float)
-    if min(top.sum(), (~top).sum()) < 2:
-        return df.sparkSession.createDataFrame([(None,) * 6], "observed double, p double, z double, null_mean double, null_sd double, permutations long")
-    # In a fixed order, so that reruns draw alike.
-    order = np.lexsort((top, x))
-    top, x = top[order], x[order]
-    middle = np.median if median else np.mean
-    sent = df.sparkSession.sparkContext.broadcast((x, int(top.sum())))
-
-    def draw(g: np.random.Generator) -> float:
-        x, k = sent.value
-        p = g.permutation(x)
-        return middle(p[:k]) - middle(p[k:])
-
-    return _summary(replicates(df.sparkSession, permutations, draw, seed), middle(x[top]) - middle(x[~top]), True, 0.0)
+    spark = df.sparkSession
+    v = df.select(F.col(flag).cast("boolean").alias("f"), F.col(value).cast("double").alias("v")).where("f is not null and v is not null and not isnan(v) and abs(v) < double('inf')")
+    counts = v.groupBy("v").agg(F.count("*").alias("n"), F.count_if("f").alias("k")).sort("v")
+    # Blocks go by rank, so that reruns draw alike.
+    size = BLOCK
+    ranked = counts.rdd.zipWithIndex().map(lambda r: (r[1] // size, r[0][0], r[0][1], r[0][2]))
+    rows = spark.createDataFrame(ranked, "block long, v double, n long, k long")
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("v", "n", "k"))).alias("r"))
+    blocks = blocks.select("block", *(F.col(f"r.{c}").alias(c) for c in "vnk")).persist()
+    try:
+        share = blocks.select("block", *(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x).alias(c) for c in "nk")).orderBy("block").toPandas()
+        sizes, flagged = share["n"].to_numpy(np.int64), share["k"].to_numpy(np.int64)
+        total, top = int(sizes.sum()), int(flagged.sum())
+        if min(top, total - top) < 2:
+            return spark.createDataFrame([(None,) * 6], "observed double, p double, z double, null_mean double, null_sd double, permutations long")
+        sent = spark.sparkContext.broadcast((sizes, flagged))
+        middle = [{(m - 1) // 2, m // 2} for m in (top, total - top)]
+
+        def part(v: np.ndarray, n: np.ndarray, k: np.ndarray, before: tuple[int, int]) -> tuple[float, float]:
+            """What a block adds to both sides' sums, or to those of their middle values."""
+            both = (k, n - k)
+            if not median:
+                return tuple(float(v @ c) for c in both)
+            found = []
+            for c, first, places in zip(both, before, middle, strict=True):
+                ends = np.cumsum(c)
+                found.append(float(sum(v[np.searchsorted(ends, p - first, "right")] for p in places if 0 <= p - first < ends[-1])))
+            return tuple(found)
+
+        def run(batches):
+            sizes, flagged = sent.value
+            for batch in batches:
+                for block, v, n, k, first, last in batch.itertuples(index=False):
+                    out = []
+                    for rep in range(first, last):
+                        # Replicate -1 is what was observed.
+                        if rep < 0:
+                            shares = flagged
+                        else:
+                            shares = np.random.default_rng([seed, rep]).multivariate_hypergeometric(sizes, top, method="marginals")
+                            k = np.random.default_rng([seed, rep, block]).multivariate_hypergeometric(np.asarray(n), shares[block], method="marginals")
+                        before = (shares[:block].sum(), (sizes - shares)[:block].sum())
+                        out.append((rep, block, *part(np.asarray(v), np.asarray(n), np.asarray(k), before)))
+                    yield pd.DataFrame(out, columns=["rep", "block", "top", "rest"])
+
+        spans = [(-1, 0)] + [(r, min(r + REPLICATES, permutations)) for r in range(0, permutations, REPLICATES)]
+        tasks = blocks.join(F.broadcast(spark.createDataFrame(spans, "first long, last long")))
+        drawn = tasks.repartition(min(len(spans) * len(sizes), 2000), "block", "first").mapInPandas(run, "rep long, block long, top double, rest double")
+        # Summed in the order of blocks, so that reruns round alike.
+        ordered = drawn.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("block", "top", "rest"))).alias("parts"))
+        whole = lambda c, m: F.aggregate(f"parts.{c}", F.lit(0.0), lambda s, x: s + x) / F.lit(float(m))
+        by = [len(m) for m in middle] if median else [top, total - top]
+        diffs = ordered.select("rep", (whole("top", by[0]) - whole("rest", by[1])).alias("value")).toPandas()
+    finally:
+        blocks.unpersist()
+    observed = float(diffs.loc[diffs["rep"] < 0, "value"].iloc[0])
+    return _summary(spark.createDataFrame(diffs[diffs["rep"] >= 0].sort_values("rep")), observed, True, 0.0)
 
 
 def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame, near: list[int], permutations: int, matched: bool = True, seed: int = 0) -> DataFrame:
