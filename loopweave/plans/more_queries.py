@@ -220,14 +220,14 @@ def U2_intersect_names(spark, sf_dir):
 
 @query()
 def C1_kmeans_windows(spark, sf_dir):
-    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 250)
-    return clustering.kmeans(clustering.window_profiles(fragments, 2), 4).select("name", "start", "label")
+    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 50)
+    return clustering.kmeans(clustering.window_profiles(fragments, 4), 8, range(20)).select("name", "start", "label")
 
 
 @query()
 def C2_spherical_kmeans(spark, sf_dir):
-    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 250)
-    return clustering.kmeans(clustering.window_profiles(fragments, 2), 4, cosine=True).select("name", "start", "label")
+    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 50)
+    return clustering.kmeans(clustering.window_profiles(fragments, 4), 8, range(5), cosine=True).select("name", "start", "label")
 
 
 @query()
