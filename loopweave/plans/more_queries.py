@@ -180,12 +180,19 @@ def M3_silhouette(spark, sf_dir):
     return rounded(matrix.silhouette(m, labels))
 
 
-@query(f"""WITH {A.TRACKS}, {SUMMARY}, c AS (SELECT unnest([1, 2, 3]) AS w), sc AS (SELECT 'w' || w AS config, m.name, round((1 - dominant_frac) * w + entropy_bits / log2(5) + switch_rate, 9) AS score FROM m, c),
+#: The reference's weights of low purity, entropy and switches.
+_SCHEMES = [
+    ("equal", 1.0, 1.0, 1.0), ("no_switch", 1.0, 1.0, 0.0), ("no_entropy", 1.0, 0.0, 1.0), ("double_low_purity", 2.0, 1.0, 1.0), ("double_entropy", 1.0, 2.0, 1.0),
+    ("double_switch", 1.0, 1.0, 2.0), ("half_low_purity", 0.5, 1.0, 1.0), ("half_entropy", 1.0, 0.5, 1.0), ("half_switch", 1.0, 1.0, 0.5),
+]
+
+
+@query(f"""WITH {A.TRACKS}, {SUMMARY}, c(config, wp, we, ws) AS (VALUES {", ".join(f"('{n}', {p}, {e}, {w})" for n, p, e, w in _SCHEMES)}), sc AS (SELECT config, m.name, round((1 - dominant_frac) * CAST(wp AS DOUBLE) + CAST(we AS DOUBLE) * (entropy_bits / log2(5)) + CAST(ws AS DOUBLE) * switch_rate, 9) AS score FROM m, c),
     t10 AS (SELECT config, list_sort(list(name)) AS top FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, name) AS r FROM sc) WHERE r <= 10 GROUP BY config)
-    SELECT a.config AS scheme, CAST(len(list_intersect(a.top, b.top)) AS INTEGER) AS overlap, round(len(list_intersect(a.top, b.top)) / CAST(len(list_distinct(list_concat(a.top, b.top))) AS DOUBLE), 6) AS jaccard FROM t10 a, t10 b WHERE b.config = 'w1'""")
+    SELECT a.config AS scheme, CAST(len(list_intersect(a.top, b.top)) AS INTEGER) AS overlap, round(len(list_intersect(a.top, b.top)) / CAST(len(list_distinct(list_concat(a.top, b.top))) AS DOUBLE), 6) AS jaccard FROM t10 a, t10 b WHERE b.config = 'equal'""")
 def R6_weight_sensitivity(spark, sf_dir):
     parts = tracks.complexity(tracks.mosaic_summary(A.tracks(spark, sf_dir).select("name", "start", "label")), 5)
-    return rounded(randomised.weight_sensitivity(parts, [(f"w{w}", w, 1, 1) for w in (1, 2, 3)], 10))
+    return rounded(randomised.weight_sensitivity(parts, _SCHEMES, 10))
 
 
 @query(f"""WITH {A.GENOMES}, {_orf_sql(False)}, th AS (SELECT unnest([10, 20, 40]) AS least_aa) SELECT least_aa, count(aa_len) AS n_orfs, count(DISTINCT name) AS n_names, max(aa_len) AS max_aa FROM th LEFT JOIN orf ON aa_len >= least_aa GROUP BY least_aa""")
@@ -247,13 +254,13 @@ def C5_neighbour_joining(spark, sf_dir):
 
 @query()
 def C6_bootstrap_support(spark, sf_dir):
-    return rounded(trees.bootstrap_support(A.proteins(spark, sf_dir), 100))
+    return rounded(trees.bootstrap_support(A.proteins(spark, sf_dir), 1000))
 
 
 @query()
 def R1_mantel(spark, sf_dir):
     full = lambda m: matrix.mirrored(m)
-    return rounded(randomised.mantel(full(_panel_distances(spark, sf_dir)), full(_composition_distances(spark, sf_dir)), 1000))
+    return rounded(randomised.mantel(full(_panel_distances(spark, sf_dir)), full(_composition_distances(spark, sf_dir)), 5000))
 
 
 @query()
@@ -261,10 +268,10 @@ def R2_boundary_enrichment(spark, sf_dir):
     seqs, rows = A.genomes(spark, sf_dir), A.tracks(spark, sf_dir)
     lengths = seqs.select("name", F.length("seq").alias("genome_len"))
     points = tracks.switchpoints(rows.select("name", "start", "label")).select("name", "pos0").join(lengths, "name").where("pos0 < genome_len").select("name", "pos0")
-    return rounded(randomised.boundary_enrichment(points, orfs.predict_orfs(seqs, 10), lengths, [50, 100, 200], 200))
+    return rounded(randomised.boundary_enrichment(points, orfs.predict_orfs(seqs, 10), lengths, [50, 100, 200], 2000))
 
 
 @query()
 def R4_two_sample(spark, sf_dir):
     rows = A.read(spark, sf_dir, "documents").join(A.read(spark, sf_dir, "labels"), "doc_id").select(F.col("n_chars").cast("double").alias("x"), (F.col("toxic") == 1).alias("f"))
-    return rounded(randomised.two_sample(rows, "f", "x", 1000))
+    return rounded(randomised.two_sample(rows, "f", "x", 10000))

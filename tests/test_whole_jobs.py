@@ -1,6 +1,7 @@
 """Registered queries do the whole job: nothing is cut off their inputs."""
 
 import hashlib
+from unittest.mock import MagicMock
 
 import duckdb
 
@@ -36,3 +37,28 @@ def test_aligned_rows_are_as_wide_as_the_longest_text(spark, tmp_path):
     assert pairs["ref0", "ref1"] == (73, round(1 / 73, 6))
     equals_sql(spark, tmp_path, "A16_gap_trim", ["benchmark"])
     assert M.C6_bootstrap_support(spark, str(tmp_path)).count() > 0
+
+
+def test_replicates_and_schemes_are_the_references(monkeypatch):
+    seen = {}
+
+    def note(name, at):
+        return lambda *args, **_: seen.setdefault(name, args[at])
+
+    for name in ("_panel_distances", "_composition_distances", "rounded"):
+        monkeypatch.setattr(M, name, lambda *args: None)
+    for name in ("genomes", "tracks", "proteins", "read"):
+        monkeypatch.setattr(M.A, name, lambda *_: MagicMock())
+    columns = MagicMock()
+    columns.col.return_value.__eq__.return_value = MagicMock()
+    monkeypatch.setattr(M, "F", columns)
+    for module in ("matrix", "orfs", "tracks"):
+        monkeypatch.setattr(M, module, MagicMock())
+    monkeypatch.setattr(M.trees, "bootstrap_support", note("C6", 1))
+    for name, at in (("mantel", 2), ("boundary_enrichment", 4), ("two_sample", 3), ("weight_sensitivity", 1)):
+        monkeypatch.setattr(M.randomised, name, note(name, at))
+    for query in (M.C6_bootstrap_support, M.R1_mantel, M.R2_boundary_enrichment, M.R4_two_sample, M.R6_weight_sensitivity):
+        query(None, "")
+    schemes = seen.pop("weight_sensitivity")
+    assert seen == {"C6": 1000, "mantel": 5000, "boundary_enrichment": 2000, "two_sample": 10000}
+    assert len({s[1:] for s in schemes}) == 9 and schemes[0] == ("equal", 1.0, 1.0, 1.0)
