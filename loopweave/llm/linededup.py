@@ -1,17 +1,22 @@
 """Removal of repeated and nearly repeated lines, in DataFrame functions only.
 
 Lines are compared by edit distance with a segment-partition join (Pass-Join,
-Li et al., 2011).  With a threshold of t edits a line is split into t + 1
-segments; a line within t edits of it must hold one of them unchanged, and
-near the place where it was.  So each line is posted under its segments, with
-its length, and probes the postings of lines that are at most t characters
-shorter with those of its substrings that a shift by t edits allows.  Pairs
-that meet are verified by a bit-parallel edit distance (Hyyro, 2003) on a band
-of 2t + 1 diagonals.
+Li et al., 2011).  With a threshold of t edits, t + 1 segments are cut from a
+line; a line within t edits of it holds one of them unchanged and near the place
+where it was.  The segments' width follows from the line's length class, so that
+lines of like length meet: each line is posted under its own segments and looked
+up by those of its substrings that a shift by t edits allows.  A posting of more
+than FEW lines is cut further: what stands left and right of the segment has t
+edits between both, so it is cut into segments in turn, until postings are short
+or nothing is left to cut.  Lines that merely share a passage thus part before
+they meet in pairs.  Pairs that meet are verified by a bit-parallel edit
+distance (Hyyro, 2003) on a band of 2t + 1 diagonals.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,72 +26,92 @@ from loopweave.llm.storage import materialize
 LEAST_CHARS = 20
 #: Edits that two lines may be apart, and the characters a line needs for each of them.
 EDITS, CHARS_PER_EDIT = 2, 20
-#: Rows up to which a table of two longs may be broadcast: 64 MB.
-BROADCAST_ROWS = 4_000_000
+#: Lines of a posting that are compared with each other at once; longer postings are cut further.
+FEW = 32
 #: Letters whose counts are compared before lines are: common ones in many languages.
 LETTERS = "eaintorshludcm "
 #: Segments of a pair's longer line that are looked for in the other one before their distance is worked out.
 SEGMENTS = 12
 #: A document's number and a line's place in it make one number: doc * PLACES + place.
 PLACES = 1 << 32
+#: The number that documents without an id have in it: beyond all others.
+NO_ID = 1 << 63
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, pos, line, n)`` for each line that may be removed, ``n`` being its length.
+def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``(place, text_hash, line, n)`` for each line that may be removed, ``n`` being its length.
 
     ``text_hash`` tells rows with the same ``doc_id`` apart.  Documents without
     an id come after all others.
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    )
-    return rows.withColumn("n", F.length("line")).where(F.col("n") >= LEAST_CHARS)
+    rows = docs.select(_number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
+    return rows.select((F.col("doc") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(32,0)").alias("place"), "text_hash", "line", "n")
 
 
-def _place(doc: Column, pos: Column) -> Column:
-    return (doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + pos.cast("decimal(10,0)")).cast("decimal(32,0)")
+def _number(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.expr(f"cast({NO_ID}BD AS decimal(20,0))"))
 
 
-def first_lines(lines: DataFrame) -> DataFrame:
-    """``(id, id2, place, text_hash, n)`` of each distinct line: where it stands first, and how often in all.
+def pieces(edits: int) -> list[tuple[int, int]]:
+    """``(segment, shift)`` of what a line is posted under and looked up by; segment -1 ends with the line.
 
-    The two ids are hashes of the line with different seeds: 128 bits.
+    If the segments before the i-th hold an edit each, and those after it too,
+    at most min(i, t - i) edits can have moved it.
     """
-    hashed = lines.select(
-        F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2"), _place(F.col("doc_id"), F.col("pos")).alias("place"), "text_hash"
-    )
-    return hashed.groupBy("id", "id2").agg(F.min("place").alias("place"), F.min_by("text_hash", "place").alias("text_hash"), F.count("*").alias("n"))
+    return [(0, 0), (-1, 0)] + [(i, shift) for i in range(1, edits) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
+
+
+def _start(i: int | Column, shift: int | Column, width: Column, n: Column) -> Column:
+    i, shift = (F.lit(x) if isinstance(x, int) else x for x in (i, shift))
+    return F.when(i < 0, n - width).otherwise(width * i + shift)
 
 
-def probes(edits: int) -> list[tuple[int, int, int]]:
-    """``(segment, shortfall, shift)`` of all substrings that a line is to be looked up by.
+def _fits(i: int, shift: int, budget: Column) -> Column:
+    """Whether a rest of so many edits has this segment with this shift."""
+    return F.lit(True) if i < 1 else (budget > i) & (budget - i >= abs(shift))
 
-    ``shortfall`` is how many characters shorter the other line is, ``shift`` how
-    far to the right of the segment's place in it the substring starts.
+
+def _class_of(m: Column) -> Column:
+    """The smallest length of those that are cut alike."""
+    return m - m % F.when(m < 200, 10).otherwise(40)
+
+
+def line_keys(line: Column, n: Column, edits: int) -> Column:
+    """An array with the key of each piece in the line's own length class, then those in the class of lines that are ``edits`` shorter.
+
+    Null stands for pieces that there aren't; the second half is null where both
+    classes are one.
     """
-    out = []
-    for short in range(edits + 1):
-        for i in range(edits + 1):
-            low = max(-i, short - (edits - i))
-            high = min(i, short + (edits - i))
-            out += [(i, short, shift) for shift in range(low, high + 1)]
-    return out
+    own = _class_of(n)
+    below = F.lit(None).cast("int")
+    for short in range(1, edits + 1):
+        lower = _class_of(n - short)
+        below = F.coalesce(below, F.when((lower < own) & (n - short >= CHARS_PER_EDIT), lower))
+    each = [F.struct(c.alias("c"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for c in (own, below) for i, shift in pieces(edits)]
+
+    def key(p: Column) -> Column:
+        budget = F.least(F.lit(edits), F.floor(p["c"] / CHARS_PER_EDIT).cast("int"))
+        width = F.floor(p["c"] / (budget + 1)).cast("int")
+        start = _start(p["i"], p["shift"], width, n)
+        fits = (p["i"] < 1) | ((budget > p["i"]) & (budget - p["i"] >= F.abs(p["shift"])))
+        return F.when(fits & (start >= 0) & (start + width <= n), F.xxhash64(p["c"], p["i"], F.substring(line, start + 1, width)))
 
+    return F.transform(F.array(*each), key)
 
-def keyed_lines(rows: DataFrame, edits: int) -> DataFrame:
-    """``(id, key, own)`` of rows ``(id, line, n)``: each line's keys, ``own`` for those it is posted under.
 
-    The ways to look a line up are exploded first, so that one short expression
-    makes all keys; one that spells out every way is too long for the JIT compiler.
+def first_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``(line, place, text_hash, n, k0, k1, ...)`` of each distinct line: a number, where it stands first, its length and keys.
+
+    Lines are told apart by 128 bits of hash.  The keys go along, so that
+    repeated lines are looked up once and no text is moved.
     """
-    ways = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(short).alias("short"), F.lit(shift).alias("shift")) for i, short, shift in probes(edits)))
-    parts = edits + 1
-    each = rows.select("id", "line", "n", F.explode(ways).alias("way")).select("id", "line", "n", "way.*")
-    each = each.selectExpr("*", f"cast((n - short) div {parts} as int) AS size", f"(n - short) % {parts} AS longer")
-    # The last segments are one longer where the length isn't a multiple.
-    each = each.selectExpr("*", f"size * i + greatest(0, i - ({parts} - longer)) + shift AS start", f"size + if(i >= {parts} - longer, 1, 0) AS width")
-    each = each.where("start >= 0 and start + width <= n")
-    return each.selectExpr("id", "xxhash64(i, n - short, substring(line, start + 1, width)) AS key", "short = 0 and shift = 0 AS own")
+    rows = lines_of(docs, least_chars)
+    long = F.col("n") >= CHARS_PER_EDIT
+    rows = rows.select("place", "text_hash", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2"), F.when(long, line_keys(F.col("line"), F.col("n"), edits)).alias("keys"))
+    keys = [F.max(F.get("keys", F.lit(k))).alias(f"k{k}") for k in range(2 * len(pieces(edits)))]
+    found = rows.groupBy("id", "id2").agg(F.min("place").alias("place"), F.min_by("text_hash", "place").alias("text_hash"), F.max("n").alias("n"), *keys)
+    return materialize(found.drop("id", "id2").withColumn("line", F.monotonically_increasing_id()), "first-lines")
 
 
 def _bind(value: Column, use) -> Column:
@@ -145,111 +170,170 @@ def letter_counts(line: Column) -> list[Column]:
     return [n - F.length(F.translate(line, "".join({x, x.upper()}), "")) for x in LETTERS]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast, if it has been counted and is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _apart(a: Column, b: Column) -> Column:
+    """How far apart two lines' letter counts are; an edit changes those of one or two letters by one."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """``(id, of)`` of those pairs ``(a, b)`` that are near, ``id`` being the line that stands later."""
-    counts = [f"c{i}" for i in range(len(LETTERS))]
-    facts = texts.select("id", "place", "n", *counts)
-    both = pairs.join(facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns)), F.col("a") == F.col("a_id"))
-    both = both.join(facts.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns)), F.col("b") == F.col("b_id"))
-    limit = F.least(F.lit(edits), F.floor(F.least("a_n", "b_n") / CHARS_PER_EDIT))
-    # An edit changes the count of one or two letters by one.
-    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts), F.lit(0))
-    both = both.where((F.abs(F.col("a_n") - F.col("b_n")) <= limit) & (apart <= 2 * limit))
-    later, longer = F.col("a_place") > F.col("b_place"), F.col("a_n") >= F.col("b_n")
-    pick = lambda test, x, y: F.when(test, F.col(x)).otherwise(F.col(y))
-    both = both.select(
-        pick(later, "a", "b").alias("id"), pick(later, "b", "a").alias("of"), pick(longer, "a", "b").alias("long_id"), pick(longer, "b", "a").alias("short_id"), limit.alias("limit")
-    )
-    likely = materialize(both, "likely-pairs")
-    ids = _small(likely.select(F.explode(F.array("long_id", "short_id")).alias("id")).distinct())
-    named = materialize(texts.join(ids, "id").select("id", "line"), "likely-lines")
-    likely = likely.join(named.select(F.col("id").alias("long_id"), F.col("line").alias("long")), "long_id")
-    likely = likely.join(named.select(F.col("id").alias("short_id"), F.col("line").alias("short")), "short_id")
-    likely = likely.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "id", "of")
+    """``line`` of those pairs ``(line, of, limit)`` that are near."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    named = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"{c}_text"))
+    both = pairs.join(named("line"), "line").join(named("of"), "of")
+    longer = F.length("line_text") >= F.length("of_text")
+    both = both.select("line", "limit", F.when(longer, F.col("line_text")).otherwise(F.col("of_text")).alias("long"), F.when(longer, F.col("of_text")).otherwise(F.col("line_text")).alias("short"))
     # Segments are looked for first, as that costs little; only then is the distance worked out.
-    likely = likely.where(segments_found(F.col("long"), F.col("short"), edits, SEGMENTS) >= SEGMENTS - F.col("limit"))
-    return likely.where(band_distance(F.col("long"), F.col("short"), edits) <= F.col("limit")).select("id", "of")
-
-
-def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(id, of)``: distinct lines that are near an earlier one, each with one such line at least.
+    likely = both.where(segments_found(F.col("long"), F.col("short"), edits, SEGMENTS) >= SEGMENTS - F.col("limit"))
+    return materialize(likely.where(band_distance(F.col("long"), F.col("short"), edits) <= F.col("limit")).select("line").distinct(), "near-lines")
+
+
+def _rest(start, end, least, budget) -> Column:
+    """Part of a line that ``budget`` edits may have changed; on the posted side it has ``least`` characters or more."""
+    return F.struct(*(F.lit(x).cast("int").alias(c) if isinstance(x, int) else x.cast("int").alias(c) for c, x in (("a", start), ("b", end), ("least", least), ("budget", budget))))
+
+
+def _cut(rest: Column, i: int, shift: int) -> tuple[Column, Column, Column]:
+    """Start and width of a piece of a rest, and the rests that are left beside it."""
+    a, b, least, budget = (rest[c] for c in ("a", "b", "least", "budget"))
+    width = F.floor(least / (budget + 1)).cast("int")
+    start = a + _start(i, shift, width, b - a)
+    right = _rest(start + width, b, least - width * (i + 1), budget - i)
+    left = _rest(a, start, width * i, F.lit(i))
+    return start, width, F.array(right) if i == 0 else F.array(_rest(a, b - width, least - width, budget)) if i < 0 else F.array(left, right)
+
+
+def _placed_rests(edits: int) -> Column:
+    """The rests of a posted line, by piece, its class ``c`` and each length that the other line may have."""
+    made = []
+    for k, (i, shift) in enumerate(pieces(edits)):
+        for short in range(edits + 1):
+            m = F.col("n") - short
+            budget = F.least(F.lit(edits), F.floor(F.col("c") / CHARS_PER_EDIT).cast("int"))
+            width = F.floor(F.col("c") / (budget + 1)).cast("int")
+            start = _start(i, shift, width, F.col("n"))
+            right, left = _rest(start + width, F.col("n"), m - width * (i + 1), budget - i), _rest(F.lit(0), start, width * i, F.lit(i))
+            rests = F.array(right) if i == 0 else F.array(_rest(F.lit(0), start, m - width, budget)) if i < 0 else F.array(left, right)
+            made.append(F.when((F.col("piece") == k) & (_class_of(m) == F.col("c")), F.struct(m.alias("m"), F.lit(short == 0).alias("same"), rests.alias("rests"))))
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def _by_length(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows of postings parted by the exact length of the posted line."""
+    each = rows.select("*", F.explode(_placed_rests(edits)).alias("way"))
+    return each.select(F.xxhash64("key", "way.m").alias("key"), "line", (F.col("own") & F.col("way.same")).alias("own"), "place", "n", "counts", F.col("way.rests").alias("rests"))
+
+
+def _by_rest(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Rows of postings parted by the pieces of the longest rest that can be cut."""
+    # How much can be cut is the same for all rows of a posting.
+    size = F.transform("rests", lambda r: F.when(r["least"] > r["budget"], r["least"]).otherwise(0))
+    at = F.array_position(size, F.array_max(size)).cast("int")
+    rows = rows.join(texts.select("line", "text"), "line").withColumn("at", at).withColumn("cut", F.get("rests", F.col("at") - 1))
+    others = F.filter("rests", lambda r, k: k != F.col("at") - 1)
+    made = []
+    for i, shift in pieces(edits):
+        start, width, rests = _cut(F.col("cut"), i, shift)
+        there = _fits(i, shift, F.col("cut.budget")) & (width > 0) & (start >= F.col("cut.a")) & (start + width <= F.col("cut.b"))
+        key = F.xxhash64("key", F.lit(i), F.substring(F.col("text"), start + 1, width))
+        made.append(F.when(there, F.struct(key.alias("key"), F.lit(shift == 0).alias("same"), F.concat(rests, others).alias("rests"))))
+    each = rows.select("*", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("way"))
+    return each.select("way.key", "line", (F.col("own") & F.col("way.same")).alias("own"), "place", "n", "counts", "way.rests")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``key`` of postings that two lines at least have, one of which is posted there."""
+    return rows.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("own")).where("low <> high and own").select("key")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
+    """``line`` of distinct lines that are near an earlier one.
 
     Two lines are near if their distance is at most ``edits`` and at most one for
-    each CHARS_PER_EDIT characters of the shorter one.  First a posting's members
-    are compared with its earliest one; that settles the lines of a large family
-    with as many pairs as it has lines.  Only lines that are near none of those
-    are then compared with all that stand before them in a posting.
+    each CHARS_PER_EDIT characters of the shorter one.  The members of a short
+    posting are compared with each other, those of a longer one with its earliest
+    line; that settles the lines of a large family with as many pairs as it has
+    lines.  Postings that still hold unsettled lines are then cut further.
     """
-    rows = lines_of(docs).where(F.col("n") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), "line", "n")
-    keyed = keyed_lines(rows, edits)
-    # Only keys that two lines have are of use, and only if one is posted there.
-    # Half an id tells lines apart here: under one key it fails once in 2 ** 32 pairs.
-    half = F.col("id").bitwiseAND(F.lit(2**32 - 1))
-    met = keyed.select("key", half.alias("half"), "own").groupBy("key").agg(F.min("half").alias("low"), F.max("half").alias("high"), F.max("own").alias("own"))
-    met = materialize(met.where("low <> high and own").select("key"), "met-keys")
-    posted = materialize(keyed.join(_small(met), "key").distinct(), "postings")
-    order = materialize(posted.select("id").distinct().join(firsts.groupBy("id").agg(F.min("place").alias("place")), "id"), "line-order")
-    texts = rows.join(_small(order.select("id")), "id").groupBy("id").agg(F.first("line").alias("line"))
-    texts = texts.join(order, "id").select("*", F.length("line").alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(letter_counts(F.col("line")))))
-    texts = materialize(texts, "line-texts")
-    placed = materialize(posted.groupBy("key", "id").agg(F.max("own").alias("own")).join(_small(order), "id"), "placed")
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        """A line and an earlier one that it meets: one of them at least is posted under their key."""
-        left, right = left.select("key", *(F.col(c).alias(f"l_{c}") for c in ("id", "own", "place"))), right.select("key", "id", "own", "place")
-        met = left.join(right, "key").where((F.col("l_own") | F.col("own")) & (F.col("l_place") > F.col("place")))
-        return materialize(met.select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
-
-    one = F.struct("place", "id")
-    heads = placed.groupBy("key").agg(F.min(one).alias("any"), F.min(F.when(F.col("own"), one)).alias("posted"))
-    heads = heads.select("key", F.col("any.*"), (F.col("any.id") == F.col("posted.id")).alias("own")).unionByName(
-        heads.where("any.id <> posted.id").select("key", F.col("posted.*"), F.lit(True).alias("own"))
-    )
-    settled = materialize(_verified(pairs(placed, heads), texts, edits), "near-first")
-    open_ = placed.join(settled.select("id").distinct(), "id", "left_anti")
-    return settled.unionByName(_verified(pairs(open_, placed), texts, edits))
-
-
-def kept_places(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(doc_id, text_hash, kept)``: the places of those of a document's lines that stand nowhere before."""
-    firsts = materialize(first_lines(lines_of(docs)), "first-lines")
-    near = near_lines(docs, firsts, edits).select("id").distinct()
-    stay = firsts.join(near, "id", "left_anti")
-    pos = F.pmod(F.col("place"), F.lit(PLACES).cast("decimal(32,0)"))
-    rows = stay.select(F.expr(f"(place - pmod(place, {PLACES}BD)) div {PLACES}BD").alias("doc_id"), "text_hash", pos.cast("int").alias("pos"))
-    return rows.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("kept"))
-
-
-def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    ways = pieces(edits)
+    each = [F.struct(F.col(f"k{k}").alias("key"), F.lit(k % len(ways)).alias("piece"), F.lit(k < len(ways)).alias("mine")) for k in range(2 * len(ways))]
+    keyed = firsts.select("line", "place", "n", F.explode(F.array(*each)).alias("way")).select("line", "place", "n", "way.*").where("key is not null")
+    keyed = keyed.withColumn("own", F.col("mine") & F.col("piece").isin([k for k, (_, shift) in enumerate(ways) if shift == 0]))
+    posted = materialize(keyed.join(materialize(_shared(keyed), "met-keys"), "key"), "postings")
+    texts = line_texts(docs, firsts.join(posted.select("line").distinct(), "line"))
+    lower = reduce(lambda found, short: F.coalesce(found, F.when(_class_of(F.col("n") - short) < _class_of(F.col("n")), _class_of(F.col("n") - short))), range(1, edits + 1), F.lit(None).cast("int"))
+    rows = posted.withColumn("c", F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(lower)).join(texts.select("line", "counts"), "line")
+    final, settled = F.lit(False), None
+    while True:
+        one = F.struct("place", "line")
+        stats = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(one).alias("any"), F.min(F.when(F.col("own"), one)).alias("posted"), F.max(final).alias("final"))
+        stats = materialize(stats, "posting-sizes")
+        whole = F.col("final") | (F.col("size") <= few)
+        left = rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("line", "own", "place", "n", "counts")))
+        right = rows.join(stats, "key").where(whole | F.col("line").isin(F.col("any.line"), F.col("posted.line"))).select("key", "line", "own", "place", "n", "counts")
+        limit = F.least(F.lit(edits), F.floor(F.least("n", "l_n") / CHARS_PER_EDIT)).cast("int")
+        fit = (F.col("own") | F.col("l_own")) & (F.col("l_place") > F.col("place")) & (F.abs(F.col("n") - F.col("l_n")) <= limit)
+        met = left.join(right, (left["key"] == right["key"]) & fit & (_apart(F.col("counts"), F.col("l_counts")) <= 2 * limit))
+        found = _verified(met.select(F.col("l_line").alias("line"), F.col("line").alias("of"), limit.alias("limit")), texts, edits)
+        settled = found if settled is None else settled.unionByName(found)
+        # Further only with postings that hold a line which is near none yet.
+        left_over = rows.join(stats.where(~whole), "key").join(settled.distinct().withColumn("done", F.lit(True)), "line", "left")
+        open_ = left_over.where(F.col("done").isNull() & (F.col("line") != F.col("any.line"))).select("key").distinct()
+        deeper = left_over.join(open_, "key").select(rows.columns)
+        deeper = _by_length(deeper, edits) if "rests" not in rows.columns else _by_rest(deeper, texts, edits)
+        deeper = materialize(deeper, "cut-postings")
+        rows = materialize(deeper.join(_shared(deeper), "key"), "cut-postings")
+        if rows.isEmpty():
+            return settled.distinct()
+        final = ~F.exists("rests", lambda r: r["least"] > r["budget"])
+
+
+def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(line, text, counts)`` of ``lines``, taken from where they stand first."""
+    wanted = lines.select("line", "text_hash", *_doc_and_pos()).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted"))
+    rows = docs.select(_number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["doc", "text_hash"])
+    parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
+    each = rows.select(F.explode(_bind(parts, lambda v: F.transform(v["wanted"], lambda w: F.struct(w["line"].alias("line"), F.get(v["lines"], w["pos"]).alias("text"))))).alias("x"))
+    return materialize(each.select("x.*", F.array(*letter_counts(F.col("x.text"))).alias("counts")).dropDuplicates(["line"]), "line-texts")
+
+
+def _doc_and_pos() -> list[Column]:
+    """A place's document and line."""
+    return [F.expr(f"cast((place - pmod(place, {PLACES}BD)) / {PLACES}BD as decimal(20,0))").alias("doc"), F.pmod(F.col("place"), F.lit(PLACES).cast("decimal(32,0)")).cast("int").alias("pos")]
+
+
+def kept_places(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, few: int = FEW) -> DataFrame:
+    """``(doc, text_hash, kept)``: the places of those of a document's lines that stand nowhere before."""
+    firsts = first_lines(docs, edits, least_chars)
+    stay = firsts.join(near_lines(docs, firsts, edits, few), "line", "left_anti")
+    return stay.select("text_hash", *_doc_and_pos()).groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, few: int = FEW) -> DataFrame:
     """``docs`` with ``text`` rid of lines that stand before, and ``n_chars`` of what is left.
 
-    A line of LEAST_CHARS characters or more goes if it, or one within the
+    A line of ``least_chars`` characters or more goes if it, or one within the
     threshold of it, stands earlier: in a document with a smaller ``doc_id``, or
     higher up in this one.  Shorter lines stay.  All rows stay, with an empty
     text if all lines go; a null text stays null.  Rows without an id come last,
     and rows repeated with their id and text are treated alike.  Other columns
-    are kept as they are.
+    are kept as they are, whatever their names.  ``doc_id`` must hold integers.
     """
-    names = docs.columns
-    kept = kept_places(docs.select("doc_id", "text"), edits).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"))
-    rows = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_of": F.xxhash64("text")})
-    rows = rows.join(kept, (F.col("_key") == F.col("_doc")) & (F.col("_of") == F.col("_hash")), "left")
-    parts = F.struct(F.split("text", "\n").alias("lines"), F.coalesce("_kept", F.array().cast("array<int>")).alias("kept"))
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("doc_id must hold integers")
+    kept = kept_places(docs.select("doc_id", "text"), edits, least_chars, few)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.join(kept, ["doc", "text_hash"], "left")
+    parts = F.struct(F.split("row.text", "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
     def left(v: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(v["lines"]) - 1)
-        short = F.filter(places, lambda i: F.length(F.get(v["lines"], i)) < LEAST_CHARS)
+        short = F.filter(places, lambda i: F.length(F.get(v["lines"], i)) < least_chars)
         return F.array_join(F.transform(F.array_sort(F.concat(short, v["kept"])), lambda i: F.get(v["lines"], i)), "\n")
 
-    rows = rows.withColumn("_left", F.when(F.col("text").isNotNull(), _bind(parts, left)))
-    text = F.col("_left")
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return rows.withColumns(changed).select(*names)
+    rows = rows.select("row", F.when(F.col("row.text").isNotNull(), _bind(parts, left)).alias("left"))
+    text = F.col("left")
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:

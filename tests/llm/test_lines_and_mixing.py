@@ -50,9 +50,9 @@ def test_band_distance(spark, edits):
         assert r["got"] == r["d"] if r["d"] <= edits else r["got"] > edits
 
 
-def brute(rows, edits=2):
-    last = 2**63 - 1
-    order = sorted((d if d is not None else last, p, line) for d, t in rows if t is not None for p, line in enumerate(t.split("\n")) if len(line) >= linededup.LEAST_CHARS)
+def brute(rows, edits=2, least=linededup.LEAST_CHARS):
+    last = 2**63
+    order = sorted((d if d is not None else last, p, line) for d, t in rows if t is not None for p, line in enumerate(t.split("\n")) if len(line) >= least)
     first = {}
     for d, p, line in order:
         first.setdefault(line, (d, p))
@@ -64,7 +64,7 @@ def brute(rows, edits=2):
             if abs(len(x) - len(y)) <= limit and distance(x, y) <= limit:
                 gone.add(y)
                 break
-    keep = lambda d, p, line: len(line) < linededup.LEAST_CHARS or (line not in gone and first[line] == (d if d is not None else last, p))
+    keep = lambda d, p, line: len(line) < least or (line not in gone and first[line] == (d if d is not None else last, p))
     return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if keep(d, p, x)) for d, t in rows]
 
 
@@ -79,6 +79,38 @@ def test_lines_equal_brute_force(spark):
     assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) and r["line"] == "n" for r in got.values())
 
 
+@pytest.mark.parametrize("few", [2, 6])
+def test_long_postings_are_cut_further(spark, few):
+    rng = random.Random(few)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 7)))
+    common = " ".join(word() for _ in range(30))
+    lines = [f"{word()} {word()} {word()} {common}" for _ in range(25)] + [f"{common} {word()} {word()}" for _ in range(25)]
+    for _ in range(70):
+        parts = common.split()
+        for _ in range(rng.randrange(1, 4)):
+            parts[rng.randrange(len(parts))] = word()
+        lines.append(" ".join(parts))
+    lines += [changed(rng, rng.choice(lines), rng.randrange(1, 4)) for _ in range(60)]
+    lines += ["Item %02d of the list that every page shows" % k for k in range(60)] + ["a" * 43, "a" * 44, "ab" * 22, "a" * 41 + "bb", "x" * 21, "x" * 20 + "y", "x" * 39, "x" * 40, "x" * 41]
+    rng.shuffle(lines)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, few=few).collect()}
+    want = brute(rows)
+    assert [got[i] for i in range(len(rows))] == [t if t is not None else "" for t in want]
+
+
+def test_every_name_and_id_of_documents(spark):
+    rows = [(None, "no id has this line too", 1, 1, 1), (2**63 - 1, "no id has this line too", 2, 2, 2), (5, "short", 3, 3, 3), (6, "short\nshort", 4, 4, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, doc int, `kept.of` int")
+    got = sorted(linededup.dedup_lines(df).collect(), key=lambda r: r["row"])
+    assert [tuple(r) for r in got] == [(None, "", 1, 1, 1), *rows[1:]] and list(got[0].asDict()) == df.columns
+    got = sorted(linededup.dedup_lines(df, least_chars=1).collect(), key=lambda r: r["row"])
+    assert [r["text"] for r in got] == ["", rows[1][1], "short", ""]
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_line_report(spark):
     line = "a passage that stands in both documents"
     df = spark.createDataFrame([(1, f"{line}\nshort"), (2, line), (3, None)], "doc_id long, text string")
