@@ -15,8 +15,6 @@ distance (Hyyro, 2003) on a band of 2t + 1 diagonals.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +25,13 @@ LEAST_CHARS = 20
 #: Edits that two lines may be apart, and the characters a line needs for each of them.
 EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines of a posting that are compared with each other at once; longer postings are cut further.
-FEW = 32
+FEW = 128
 #: Letters whose counts are compared before lines are: common ones in many languages.
 LETTERS = "eaintorshludcm "
 #: Segments of a pair's longer line that are looked for in the other one before their distance is worked out.
 SEGMENTS = 12
+#: Parts by whose multiples lines' common beginnings and ends are measured.
+SLICES = 48
 #: A document's number and a line's place in it make one number: doc * PLACES + place.
 PLACES = 1 << 32
 #: The number that documents without an id have in it: beyond all others.
@@ -39,18 +39,23 @@ NO_ID = 1 << 63
 
 
 def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``(place, text_hash, line, n)`` for each line that may be removed, ``n`` being its length.
+    """``(doc, text_hash, place, pos, line, n)`` for each line that may be removed, ``n`` being its length.
 
-    ``text_hash`` tells rows with the same ``doc_id`` apart.  Documents without
-    an id come after all others.
+    ``text_hash`` tells rows with the same ``doc_id`` apart.  By ``place``
+    documents without an id come after all others.
     """
-    rows = docs.select(_number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    base = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.expr(f"cast({NO_ID}BD AS decimal(20,0))")) * F.lit(PLACES).cast("decimal(10,0)")
+    rows = docs.select(*_row_of(docs), base.cast("decimal(31,0)").alias("base"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    return rows.select((F.col("doc") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(32,0)").alias("place"), "text_hash", "line", "n")
+    return rows.select("doc", "text_hash", (F.col("base") + F.col("pos")).alias("place"), "pos", "line", "n")
+
 
+def _row_of(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash")]
 
-def _number(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.expr(f"cast({NO_ID}BD AS decimal(20,0))"))
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc"].eqNullSafe(b["doc"]) & (a["text_hash"] == b["text_hash"])
 
 
 def pieces(edits: int) -> list[tuple[int, int]]:
@@ -62,9 +67,8 @@ def pieces(edits: int) -> list[tuple[int, int]]:
     return [(0, 0), (-1, 0)] + [(i, shift) for i in range(1, edits) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
 
 
-def _start(i: int | Column, shift: int | Column, width: Column, n: Column) -> Column:
-    i, shift = (F.lit(x) if isinstance(x, int) else x for x in (i, shift))
-    return F.when(i < 0, n - width).otherwise(width * i + shift)
+def _start(i: int, shift: int, width: Column, n: Column) -> Column:
+    return n - width if i < 0 else width * i + shift
 
 
 def _fits(i: int, shift: int, budget: Column) -> Column:
@@ -77,40 +81,42 @@ def _class_of(m: Column) -> Column:
     return m - m % F.when(m < 200, 10).otherwise(40)
 
 
-def line_keys(line: Column, n: Column, edits: int) -> Column:
-    """An array with the key of each piece in the line's own length class, then those in the class of lines that are ``edits`` shorter.
-
-    Null stands for pieces that there aren't; the second half is null where both
-    classes are one.
-    """
-    own = _class_of(n)
-    below = F.lit(None).cast("int")
+def _lower_class(n: Column, edits: int) -> Column:
+    """The class of lines that are up to ``edits`` shorter, where it is another than the line's own."""
+    found = F.lit(None).cast("int")
     for short in range(1, edits + 1):
-        lower = _class_of(n - short)
-        below = F.coalesce(below, F.when((lower < own) & (n - short >= CHARS_PER_EDIT), lower))
-    each = [F.struct(c.alias("c"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for c in (own, below) for i, shift in pieces(edits)]
+        found = F.coalesce(found, F.when((_class_of(n - short) < _class_of(n)) & (n - short >= CHARS_PER_EDIT), _class_of(n - short)))
+    return found
+
 
-    def key(p: Column) -> Column:
-        budget = F.least(F.lit(edits), F.floor(p["c"] / CHARS_PER_EDIT).cast("int"))
-        width = F.floor(p["c"] / (budget + 1)).cast("int")
-        start = _start(p["i"], p["shift"], width, n)
-        fits = (p["i"] < 1) | ((budget > p["i"]) & (budget - p["i"] >= F.abs(p["shift"])))
-        return F.when(fits & (start >= 0) & (start + width <= n), F.xxhash64(p["c"], p["i"], F.substring(line, start + 1, width)))
+def keyed_lines(rows: DataFrame, edits: int) -> DataFrame:
+    """``rows`` with columns k0, k1, ...: the key of each piece of ``line``, first in its own length class, then in the lower one.
 
-    return F.transform(F.array(*each), key)
+    Null stands for pieces that there aren't.
+    """
+    budget = lambda c: F.least(F.lit(edits), (F.col(c) / CHARS_PER_EDIT).cast("int"))
+    rows = rows.withColumns({"c0": F.when(F.col("n") >= CHARS_PER_EDIT, _class_of(F.col("n"))), "c1": _lower_class(F.col("n"), edits)})
+    rows = rows.withColumns({f"t{k}": budget(f"c{k}") for k in range(2)})
+    rows = rows.withColumns({f"w{k}": (F.col(f"c{k}") / (F.col(f"t{k}") + 1)).cast("int") for k in range(2)})
+    keys = []
+    for k in range(2):
+        for i, shift in pieces(edits):
+            start = _start(i, shift, F.col(f"w{k}"), F.col("n"))
+            fits = _fits(i, shift, F.col(f"t{k}")) & (start >= 0) & (start + F.col(f"w{k}") <= F.col("n"))
+            keys.append(F.when(fits, F.xxhash64(f"c{k}", F.lit(i), F.substring("line", start + 1, F.col(f"w{k}")))))
+    return rows.withColumns({f"k{k}": key for k, key in enumerate(keys)}).drop("c0", "c1", "t0", "t1", "w0", "w1")
 
 
 def first_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``(line, place, text_hash, n, k0, k1, ...)`` of each distinct line: a number, where it stands first, its length and keys.
+    """``(line, place, doc, text_hash, pos, n, k0, k1, ...)`` of each distinct line: a number, where it stands first, its length and keys.
 
     Lines are told apart by 128 bits of hash.  The keys go along, so that
     repeated lines are looked up once and no text is moved.
     """
-    rows = lines_of(docs, least_chars)
-    long = F.col("n") >= CHARS_PER_EDIT
-    rows = rows.select("place", "text_hash", "n", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), F.col("line")).alias("id2"), F.when(long, line_keys(F.col("line"), F.col("n"), edits)).alias("keys"))
-    keys = [F.max(F.get("keys", F.lit(k))).alias(f"k{k}") for k in range(2 * len(pieces(edits)))]
-    found = rows.groupBy("id", "id2").agg(F.min("place").alias("place"), F.min_by("text_hash", "place").alias("text_hash"), F.max("n").alias("n"), *keys)
+    rows = keyed_lines(lines_of(docs, least_chars), edits)
+    keys = [F.max(c).alias(c) for c in rows.columns if c.startswith("k")]
+    first = [F.min_by(c, "place").alias(c) for c in ("doc", "text_hash", "pos")]
+    found = rows.groupBy(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")).agg(F.min("place").alias("place"), *first, F.max("n").alias("n"), *keys)
     return materialize(found.drop("id", "id2").withColumn("line", F.monotonically_increasing_id()), "first-lines")
 
 
@@ -153,6 +159,18 @@ def band_distance(a: Column, b: Column, edits: int) -> Column:
     return _bind(chars, steps)
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """The two lines without what they begin and end with in common, up to a part of SLICES; some of ``b`` is left."""
+
+    def cut(v: Column, whole, rest) -> Column:
+        n = F.length(v["b"]) - 1
+        sizes = F.transform(F.sequence(F.lit(0), F.lit(SLICES)), lambda i: F.floor(n * i / SLICES).cast("int"))
+        return _bind(F.struct(v["a"].alias("a"), v["b"].alias("b"), F.array_max(F.filter(sizes, lambda k: whole(v["a"], k) == whole(v["b"], k))).alias("k")), lambda x: F.struct(rest(x["a"], x["k"]).alias("a"), rest(x["b"], x["k"]).alias("b")))
+
+    head = cut(F.struct(a.alias("a"), b.alias("b")), F.left, lambda c, k: F.substring(c, k + 1, F.length(c)))
+    return _bind(head, lambda v: cut(v, F.right, lambda c, k: F.left(c, F.length(c) - k)))
+
+
 def segments_found(a: Column, b: Column, edits: int, parts: int) -> Column:
     """How many of ``parts`` segments of ``a`` stand in ``b``, moved by ``edits`` characters at most; an edit can spoil one."""
     size = F.length(a)
@@ -165,9 +183,8 @@ def segments_found(a: Column, b: Column, edits: int, parts: int) -> Column:
 
 
 def letter_counts(line: Column) -> list[Column]:
-    """How often a line has each of LETTERS, whatever their case."""
-    n = F.length(line)
-    return [n - F.length(F.translate(line, "".join({x, x.upper()}), "")) for x in LETTERS]
+    """How often a line has each of LETTERS."""
+    return [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x))) for x in LETTERS]
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -184,7 +201,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     both = both.select("line", "limit", F.when(longer, F.col("line_text")).otherwise(F.col("of_text")).alias("long"), F.when(longer, F.col("of_text")).otherwise(F.col("line_text")).alias("short"))
     # Segments are looked for first, as that costs little; only then is the distance worked out.
     likely = both.where(segments_found(F.col("long"), F.col("short"), edits, SEGMENTS) >= SEGMENTS - F.col("limit"))
-    return materialize(likely.where(band_distance(F.col("long"), F.col("short"), edits) <= F.col("limit")).select("line").distinct(), "near-lines")
+    near = F.transform(F.array(_differing(F.col("long"), F.col("short"))), lambda v: band_distance(v["a"], v["b"], edits))[0] <= F.col("limit")
+    return materialize(likely.where(near).select("line").distinct(), "near-lines")
 
 
 def _rest(start, end, least, budget) -> Column:
@@ -260,8 +278,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
     keyed = keyed.withColumn("own", F.col("mine") & F.col("piece").isin([k for k, (_, shift) in enumerate(ways) if shift == 0]))
     posted = materialize(keyed.join(materialize(_shared(keyed), "met-keys"), "key"), "postings")
     texts = line_texts(docs, firsts.join(posted.select("line").distinct(), "line"))
-    lower = reduce(lambda found, short: F.coalesce(found, F.when(_class_of(F.col("n") - short) < _class_of(F.col("n")), _class_of(F.col("n") - short))), range(1, edits + 1), F.lit(None).cast("int"))
-    rows = posted.withColumn("c", F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(lower)).join(texts.select("line", "counts"), "line")
+    rows = posted.withColumn("c", F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(_lower_class(F.col("n"), edits))).join(texts.select("line", "counts"), "line")
     final, settled = F.lit(False), None
     while True:
         one = F.struct("place", "line")
@@ -289,23 +306,19 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
 
 def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``(line, text, counts)`` of ``lines``, taken from where they stand first."""
-    wanted = lines.select("line", "text_hash", *_doc_and_pos()).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted"))
-    rows = docs.select(_number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["doc", "text_hash"])
+    wanted = lines.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted"))
+    rows = docs.select(*_row_of(docs), "text")
+    rows = rows.join(wanted, _same_row(rows, wanted))
     parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
     each = rows.select(F.explode(_bind(parts, lambda v: F.transform(v["wanted"], lambda w: F.struct(w["line"].alias("line"), F.get(v["lines"], w["pos"]).alias("text"))))).alias("x"))
     return materialize(each.select("x.*", F.array(*letter_counts(F.col("x.text"))).alias("counts")).dropDuplicates(["line"]), "line-texts")
 
 
-def _doc_and_pos() -> list[Column]:
-    """A place's document and line."""
-    return [F.expr(f"cast((place - pmod(place, {PLACES}BD)) / {PLACES}BD as decimal(20,0))").alias("doc"), F.pmod(F.col("place"), F.lit(PLACES).cast("decimal(32,0)")).cast("int").alias("pos")]
-
-
 def kept_places(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, few: int = FEW) -> DataFrame:
     """``(doc, text_hash, kept)``: the places of those of a document's lines that stand nowhere before."""
     firsts = first_lines(docs, edits, least_chars)
     stay = firsts.join(near_lines(docs, firsts, edits, few), "line", "left_anti")
-    return stay.select("text_hash", *_doc_and_pos()).groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("kept"))
+    return stay.groupBy("doc", "text_hash").agg(F.collect_list("pos").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, few: int = FEW) -> DataFrame:
@@ -321,8 +334,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("doc_id must hold integers")
     kept = kept_places(docs.select("doc_id", "text"), edits, least_chars, few)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _number("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"))
-    rows = rows.join(kept, ["doc", "text_hash"], "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_of(docs))
+    rows = rows.join(kept, _same_row(rows, kept), "left")
     parts = F.struct(F.split("row.text", "\n").alias("lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
     def left(v: Column) -> Column:
@@ -342,13 +355,13 @@ def line_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     Null texts have no lines; what is kept of others is given by its length and
     MD5.  See :func:`dedup_lines` for which lines go.
     """
-    rows = docs.select("doc_id", "text", F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("_n"), F.col("text").isNull().alias("_null"))
-    done = dedup_lines(rows, edits)
-    left = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    lines = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"))) + 1
+    done = dedup_lines(docs.select("doc_id", "text", lines(F.col("text")).alias("before")), edits)
+    text = F.coalesce(F.col("text"), F.lit(""))
     return done.select(
         "doc_id",
-        F.when(F.col("_null"), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"),
-        F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(left).cast("long").alias("n_kept"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"),
-        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("kept_md5"),
+        F.coalesce("before", F.lit(0)).cast("long").alias("n_lines"),
+        F.when(text == "", 0).otherwise(lines(text)).cast("long").alias("n_kept"),
+        F.length(text).cast("long").alias("kept_chars"),
+        F.md5(text.cast("binary")).alias("kept_md5"),
     )
