@@ -306,7 +306,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
 
 def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``(line, text, counts)`` of ``lines``, taken from where they stand first."""
-    wanted = lines.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted"))
+    # Written first, so that its size is known when the join with the texts is planned.
+    wanted = materialize(lines.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted")), "wanted-lines")
     rows = docs.select(*_row_of(docs), "text")
     rows = rows.join(wanted, _same_row(rows, wanted))
     parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
