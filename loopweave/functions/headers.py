@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words, patterns and weights that the results depend on.
+# Words, patterns (of headers, countries, isolates and of the record screen: ENDOGENOUS, FLANKS, ASSEMBLY)
+# and weights that the results depend on.
 KEYWORDS = ("country", "strain", "isolate", "host", "location", "collected", "isolation", "geo", "region")
 DELIMITERS = r"[|;/\[\](){}]"
 GENUS_SPECIES = r"\b[A-Z][a-z]{2,}\s+[a-z]{2,}\b"
@@ -99,9 +100,10 @@ def truthy(value: Column) -> Column:
 
 
 def parse_header_fields(header: Column) -> Column:
-    """The map of a header's ``k=v`` parts between bars; of repeated keys the last counts."""
-    parts = F.filter(F.split(header, r"\|"), lambda x: F.contains(x, F.lit("=")))
-    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.trim(F.substring_index(x, "=", -1)).alias("v")))
+    """The map of a header's ``k=v`` parts between bars, after its name and label; of repeated keys the last counts."""
+    cells = F.split(header, r"\|")
+    parts = F.filter(F.slice(cells, 3, F.greatest(F.size(cells), F.lit(1))), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "(?s)^[^=]*=", "")).alias("v")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -67,20 +69,92 @@ def cosine_distances(names: DataFrame, counts: DataFrame) -> DataFrame:
     return full.select("a", "b", F.when(F.col("na").isNotNull() & F.col("nb").isNotNull(), dist).alias("dist"))
 
 
-def nearest_reference(queries: DataFrame, panel: DataFrame, keep_self: bool = True) -> DataFrame:
-    """``(query, hit, dist)``: each query's nearest panel sequence; ties go to the smaller name.
+def kmer_profiles(seqs: DataFrame, k: int) -> DataFrame:
+    """``(name, profile)``: a row for each sequence with its counts of all 4 ** k k-mers, in order; for small ``k``.
 
-    Both are tables of counts.  Queries meet panel profiles on their k-mers and
-    are summed before anything else is shuffled by pair, so the panel may be
-    large too.  Queries without k-mers aren't in the result.
+    Sequences are read as lines, and k-mers with other letters than A, C, G and
+    T are left out.
     """
-    dots = _pairs(queries, panel, False)
-    dots = dots if keep_self else dots.where("a <> b")
-    nq, np_ = _norms(queries), _norms(panel)
-    dist = 1 - F.col("dot") / (F.col("na") * F.col("nb"))
-    full = dots.join(nq.select(F.col("name").alias("a"), F.col("norm").alias("na")), "a").join(np_.select(F.col("name").alias("b"), F.col("norm").alias("nb")), "b")
-    best = full.select("a", F.struct(F.round(dist, 12).alias("dist"), "b").alias("x")).groupBy("a").agg(F.min("x").alias("x"))
-    return best.select(F.col("a").alias("query"), F.col("x.b").alias("hit"), F.col("x.dist").alias("dist"))
+    if not 1 <= k <= 8:
+        raise ValueError("profiles are for k from 1 to 8")
+    code = np.full(256, -1, np.int64)
+    code[np.frombuffer(BASES.encode(), np.uint8)] = range(4)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for seq in batch.column(1).cast(pa.binary()):
+                letters = code[np.frombuffer(seq.as_py() or b"", np.uint8)]
+                n = len(letters) - k + 1
+                if n > 0:
+                    at_ = sum(letters[i : i + n] * 4 ** (k - 1 - i) for i in range(k))
+                    at_ = at_[np.min([letters[i : i + n] for i in range(k)], axis=0) >= 0]
+                    found.append(np.bincount(at_, minlength=4**k))
+                else:
+                    found.append(np.zeros(4**k, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["name", "profile"])
+
+    return seqs.select(F.col("name").cast("string"), "seq").mapInArrow(run, "name string, profile array<long>")
+
+
+#: Panel profiles that are sent to tasks; of k = 4 they take 80 MB.
+PANEL = 40_000
+
+
+def nearest_reference(queries: DataFrame, panel: DataFrame, k: int = 4, keep_self: bool = True) -> DataFrame:
+    """``(query, hit, dist)``: each query's nearest panel sequence by the cosine of k-mer counts; ties go to the smaller name.
+
+    Both are tables ``(name, seq)`` with distinct names.  Queries are never
+    shuffled: a panel of up to PANEL names is sent to tasks that multiply
+    matrices, a larger one in as many parts.  Sequences without k-mers aren't in
+    the result.
+    """
+    profiles = kmer_profiles(panel, k)
+    parts = max(1, -(-panel.count() // PANEL))
+    found = None
+    for part in range(parts):
+        some = profiles.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part) if parts > 1 else profiles
+        near = _nearest(queries, some.toArrow(), k, keep_self)
+        found = near if found is None else found.unionByName(near)
+    if parts > 1:
+        best = found.groupBy("query").agg(F.min(F.struct("dist", "hit")).alias("x"))
+        found = best.select("query", F.col("x.hit").alias("hit"), F.col("x.dist").alias("dist"))
+    return found
+
+
+def _unit(lists: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Profiles as rows of length one, and which of them have k-mers."""
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4**k).astype(float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+
+def _nearest(queries: DataFrame, panel: pa.Table, k: int, keep_self: bool) -> DataFrame:
+    names = np.array(panel.column(0).to_pylist(), object)
+    order = np.argsort(names.astype(str), kind="stable")
+    refs, has = _unit(panel.column(1), k)
+    order = order[has[order]]
+    sent = queries.sparkSession.sparkContext.broadcast((names[order], refs[order]))
+
+    def run(batches):
+        titles, rows = sent.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                x, ok = _unit(part.column(1), k)
+                ids = np.array(part.column(0).to_pylist(), object)
+                if not len(titles) or not ok.any():
+                    continue
+                dist = np.round(1 - x[ok] @ rows.T, 12)
+                if not keep_self:
+                    dist[ids[ok][:, None] == titles[None, :]] = np.inf
+                at_ = dist.argmin(axis=1)
+                least = dist[np.arange(len(at_)), at_]
+                real = np.isfinite(least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok][real], pa.string()), pa.array(titles[at_][real], pa.string()), pa.array(least[real])], ["query", "hit", "dist"])
+
+    return kmer_profiles(queries, k).mapInArrow(run, "query string, hit string, dist double")
 
 
 def jensen_shannon(names: DataFrame, counts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from loopweave.functions.headers import strand_sign
 from loopweave.functions.sequences import STOPS, at, reverse_complement, translate_dna
 
 
@@ -76,6 +77,44 @@ def longest_orfs(orfs: DataFrame, n: int = 1, least_aa: int = 0) -> DataFrame:
     return orfs.where(F.col("aa_len") >= least_aa).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def orf_table(orfs: DataFrame) -> DataFrame:
+    """A table of ORFs in its normal form: ``wrap``, ``orf_id`` and a numeric ``strand``.
+
+    ``wrapped`` is another name of ``wrap``, which is false where it lacks or
+    says anything but true or 1.  Without an ``orf_id`` a name's ORFs are numbered
+    by start, then end, then strand.  Missing columns are an error.
+    """
+    flag = "wrap" if "wrap" in orfs.columns else "wrapped" if "wrapped" in orfs.columns else None
+    wrap = F.coalesce(F.lower(F.col(flag).cast("string")).isin("true", "1"), F.lit(False)) if flag else F.lit(False)
+    rows = orfs.withColumn("wrap", wrap).drop("wrapped")
+    lacks = sorted({"name", "strand", "start0", "end0", "nt_len", "aa_len"} - set(rows.columns))
+    if lacks:
+        raise ValueError(f"columns that ORFs need are missing: {', '.join(lacks)}")
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in ("start0", "end0", "nt_len", "aa_len")}).withColumn("strand", strand_sign(F.col("strand")))
+    if "orf_id" not in rows.columns:
+        order = W.Window.partitionBy("name").orderBy("start0", "end0", "strand", "nt_len")
+        rows = rows.withColumn("orf_id", F.concat(F.lit("orf"), F.row_number().over(order)))
+    return rows
+
+
+def longest_by_protein(orfs: DataFrame) -> DataFrame:
+    """Each name's ORF with the longest protein; of ties the first by start, strand and end."""
+    first = F.min(F.struct((-F.col("aa_len")).alias("size"), "start0", "strand", "end0"))
+    kept = orfs.groupBy("name").agg(first.alias("k")).select("name", (-F.col("k.size")).alias("aa_len"), "k.start0", "k.strand", "k.end0")
+    return orfs.join(kept, ["name", "aa_len", "start0", "strand", "end0"])
+
+
+def ordered(orfs: DataFrame) -> DataFrame:
+    """``orfs`` with their place ``nth`` within the name: longest proteins first, then by strand and start."""
+    return orfs.withColumn("nth", F.row_number().over(W.Window.partitionBy("name").orderBy(F.desc("aa_len"), "strand", "start0", "end0")))
+
+
+def median_distances(distances: DataFrame, n: int | None = None) -> DataFrame:
+    """``(name, median)`` of the names nearest to boundaries, by the median of their points' distances."""
+    found = distances.where("dist is not null").groupBy("name").agg(F.median("dist").alias("median")).orderBy("median", "name")
+    return found if n is None else found.limit(n)
+
+
 def orf_summary(orfs: DataFrame) -> DataFrame:
     """One row: number, names, median and largest length."""
     return orfs.agg(F.count("*").alias("n_orfs"), F.count_distinct("name").alias("n_names"), F.median("aa_len").alias("median_aa"), F.max("aa_len").alias("max_aa"))
@@ -89,15 +128,20 @@ def circular_distance(a: Column, b: Column, size: Column) -> Column:
 def nearest_boundary(points: DataFrame, orfs: DataFrame, lengths: DataFrame, circular: bool = True) -> DataFrame:
     """``points`` with ``dist`` to the nearest end of an ORF of the same name; null if there is none.
 
-    A name's points meet its ends, so the work is points times ends of one name.
+    A name's points and ends are sorted together once: the nearest end is the
+    one before or after, or, around the circle, the first or the last.
     """
     ends = orfs.select("name", F.explode(F.array("start0", "end0")).alias("boundary")).distinct()
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    size = F.col("genome_len")
-    met = keyed.select("_id", "name", "pos0").join(lengths.select("name", "genome_len"), "name").join(ends, "name")
-    d = circular_distance(F.col("pos0"), F.col("boundary"), size) if circular else F.abs(F.col("pos0") - F.col("boundary"))
-    near = met.groupBy("name", "pos0").agg(F.min(d).alias("dist"))
-    return points.join(near, ["name", "pos0"], "left")
+    both = points.select("name", "pos0").distinct().withColumn("boundary", F.lit(None).cast("int"))
+    both = both.unionByName(ends.select("name", F.col("boundary").alias("pos0"), F.col("boundary").cast("int").alias("boundary")))
+    order = W.Window.partitionBy("name").orderBy("pos0")
+    before = F.max("boundary").over(order.rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow))
+    after = F.min("boundary").over(order.rangeBetween(W.Window.currentRow, W.Window.unboundedFollowing))
+    every = W.Window.partitionBy("name")
+    found = both.select("name", "pos0", "boundary", before.alias("before"), after.alias("after"), F.min("boundary").over(every).alias("first"), F.max("boundary").over(every).alias("last"))
+    found = found.where("boundary is null").join(lengths.select("name", "genome_len"), "name", "left")
+    d = [circular_distance(F.col("pos0"), F.col(c), F.col("genome_len")) if circular else F.abs(F.col("pos0") - F.col(c)) for c in ("before", "after", "first", "last")]
+    return points.join(found.select("name", "pos0", F.least(*d).alias("dist")), ["name", "pos0"], "left")
 
 
 def near_fraction(distances: DataFrame, near: list[int]) -> DataFrame:

@@ -74,6 +74,11 @@ def ranked(scores: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
+def global_rank(scores: DataFrame, value: str, name: str) -> DataFrame:
+    """``scores`` with ``rank``, 1 for the largest value; ties by name.  A row for each name is ordered in one place."""
+    return scores.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc(value), name)))
+
+
 def runs(tracks: DataFrame, circular: bool = True) -> DataFrame:
     """``(name, run, label, windows, first_start, last_start, first_index, n_runs)``, runs of equal labels in order.
 

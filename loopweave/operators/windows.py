@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.functions.sequences import at, base_entropy, circular_extension
+from loopweave.functions.sequences import at, base_entropy
 
 
 def sliding_windows(seqs: DataFrame, width: int, step: int, circular: bool = True) -> DataFrame:
@@ -16,24 +16,26 @@ def sliding_windows(seqs: DataFrame, width: int, step: int, circular: bool = Tru
     is longer than the sequence is cut off there though ``end`` isn't.
     """
     n = F.length("seq")
-    rows = seqs.select("name", "seq", n.alias("genome_len")).where("genome_len > 0")
+    # Bytes are made once for each sequence, long enough for all its windows, before windows are told apart.
+    times = F.ceil(F.lit(width) / n).cast("int") + 1
+    letters = (F.repeat("seq", times) if circular else F.col("seq")).cast("binary")
+    rows = seqs.where(n > 0).select("name", n.alias("genome_len"), letters.alias("letters"))
     last = F.col("genome_len") - 1 if circular else F.greatest(F.lit(0), F.col("genome_len") - width)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("start"))
     end = F.col("start") + width
     if circular:
-        times = F.ceil(F.lit(width) / F.col("genome_len")).cast("int") + 1
-        doubled = F.when(end > F.col("genome_len"), F.repeat("seq", times)).otherwise(F.col("seq"))
-        mod, wrap, fragment = F.pmod(end, F.col("genome_len")), end > F.col("genome_len"), at(doubled, F.col("start"), width)
+        mod, wrap = F.pmod(end, F.col("genome_len")), end > F.col("genome_len")
     else:
-        mod, wrap, fragment = F.least(end, F.col("genome_len")), F.lit(False), at(F.col("seq"), F.col("start"), width)
-    return rows.select("name", "start", end.alias("end"), mod.alias("end_mod"), wrap.alias("wrap"), "genome_len", F.lit(circular).alias("circular_window"), fragment.alias("fragment"))
+        mod, wrap = F.least(end, F.col("genome_len")), F.lit(False)
+    return rows.select("name", "start", end.alias("end"), mod.alias("end_mod"), wrap.alias("wrap"), "genome_len", F.lit(circular).alias("circular_window"), at(F.col("letters"), F.col("start"), width).alias("fragment"))
 
 
 def entropy_windows(seqs: DataFrame, width: int, step: int) -> DataFrame:
     """``(name, start, entropy)`` of circular windows in the sequence extended by its first ``width`` letters."""
-    rows = seqs.where(F.length("seq") > 0).select("name", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(step))).alias("start"))
-    part = circular_extension(F.col("seq"), F.col("start"), width)
-    return rows.select("name", "start", part.alias("part")).select("name", "start", base_entropy(F.col("part")).alias("entropy"))
+    extended = F.concat("seq", at(F.col("seq"), 0, width)).cast("binary").alias("letters")
+    rows = seqs.where(F.length("seq") > 0).select("name", extended, F.length("seq").alias("n"))
+    rows = rows.select("name", "letters", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("start"))
+    return rows.select("name", "start", at(F.col("letters"), F.col("start"), width).alias("part")).select("name", "start", base_entropy(F.col("part")).alias("entropy"))
 
 
 def genome_summary(seqs: DataFrame) -> DataFrame:

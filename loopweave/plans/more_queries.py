@@ -26,9 +26,9 @@ def P9_sanitize_protein(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").select("doc_id", F.length(protein).alias("n"), F.md5(protein.cast("binary")).alias("protein_md5"))
 
 
-@query("SELECT event_id, regexp_extract(event_type || '|k=' || user_id || '|v=x', 'k=([^|]*)', 1) AS k, 'x' AS v FROM events")
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS k, 'a=' || event_type || '=' AS v FROM events")
 def P10_parse_orf_header(spark, sf_dir):
-    text = F.concat("event_type", F.lit("|k="), F.col("user_id").cast("string"), F.lit("|v=x"))
+    text = F.concat(F.col("event_id").cast("string"), F.lit("|k=label| k = "), F.col("user_id").cast("string"), F.lit("|v=a="), "event_type", F.lit("=|no value"))
     rows = A.read(spark, sf_dir, "events").select("event_id", H.parse_header_fields(text).alias("m"))
     return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("v")).alias("v"))
 
@@ -61,18 +61,23 @@ def P16_normalize_candidates(spark, sf_dir):
 _PLACES = "CASE conv_id % 5 WHEN 0 THEN ' isolate GH67 Ghana' WHEN 1 THEN ' Sri  Lanka strain' WHEN 2 THEN ' from Ivory Coast and TOGO' WHEN 3 THEN ' NIG5 Nigeria, CI152-09' ELSE '' END"
 
 
-def _places(spark, sf_dir):
+def _places(spark, sf_dir, before="text"):
     said = F.get(F.array(*map(F.lit, (" isolate GH67 Ghana", " Sri  Lanka strain", " from Ivory Coast and TOGO", " NIG5 Nigeria, CI152-09", ""))), (F.col("conv_id") % 5).cast("int"))
-    return A.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", said).alias("t"))
+    return A.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace(before, r"[^\x00-\x7F]", "-"), said).alias("t"))
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, role || {_PLACES} AS t FROM conversations)
-    SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Ghana' WHEN 1 THEN 'Sri Lanka' WHEN 2 THEN 'Togo;Cote d''Ivoire' WHEN 3 THEN 'Nigeria' ELSE '' END AS country FROM x""")
+_COUNTRY_SQL = ["ghana", "togo", "nigeria", "sri\\s*lanka", "c[ôo]te\\s*d[''’]ivoire", "ivory\\s*coast", "ivoire"]
+_COUNTRY_NAMES = ["Ghana", "Togo", "Nigeria", "Sri Lanka", "Cote d''Ivoire", "Cote d''Ivoire", "Cote d''Ivoire"]
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '-', 'g') || {_PLACES} AS t FROM conversations), h AS (SELECT conv_id, turn, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(?i)(^|[^[:alnum:]_]){p}($|[^[:alnum:]_])') THEN '{n}' END" for p, n in zip(_COUNTRY_SQL, _COUNTRY_NAMES, strict=True))}], lambda c: c IS NOT NULL) AS c FROM x),
+    e AS (SELECT conv_id, turn, unnest(c) AS p, generate_subscripts(c, 1) AS i FROM h), q AS (SELECT conv_id, turn, p, min(i) AS i FROM e GROUP BY ALL), s AS (SELECT conv_id, turn, string_agg(p, ';' ORDER BY i) AS country FROM q GROUP BY conv_id, turn)
+    SELECT h.conv_id, h.turn, coalesce(country, '') AS country FROM h LEFT JOIN s ON s.conv_id = h.conv_id AND s.turn = h.turn""")
 def P17_extract_country(spark, sf_dir):
-    return _places(spark, sf_dir).select("conv_id", "turn", H.country(F.col("t")).alias("country"))
+    return _places(spark, sf_dir, "text").select("conv_id", "turn", H.country(F.col("t")).alias("country"))
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, role || {_PLACES} AS t FROM conversations),
+@query(f"""WITH x AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '-', 'g') || {_PLACES} AS t FROM conversations),
     h AS (SELECT conv_id, turn, list_concat(regexp_extract_all(t, '(?i)\\bisolate\\s+([A-Za-z0-9_-]+)\\b', 1), list_concat(regexp_extract_all(t, '(?i)\\b(GH[A-Za-z0-9-]+)\\b', 1), list_concat(regexp_extract_all(t, '(?i)\\b(Gha[A-Za-z0-9-]+)\\b', 1),
           list_concat(regexp_extract_all(t, '(?i)\\b(CI[A-Za-z0-9-]+)\\b', 1), regexp_extract_all(t, '(?i)\\b(NIG[A-Za-z0-9-]+)\\b', 1))))) AS c FROM x),
     q AS (SELECT conv_id, turn, p, min(i) AS i FROM (SELECT conv_id, turn, unnest(c) AS p, generate_subscripts(c, 1) AS i FROM h) GROUP BY conv_id, turn, p), s AS (SELECT conv_id, turn, string_agg(p, ';' ORDER BY i) AS tags FROM q GROUP BY conv_id, turn)
@@ -81,11 +86,18 @@ def P18_extract_isolate_tags(spark, sf_dir):
     return _places(spark, sf_dir).select("conv_id", "turn", H.isolate_tags(F.col("t")).alias("tags"))
 
 
-@query("""WITH x AS (SELECT page_id, url, lower(html) AS h, length(html) AS n FROM pages), f AS (SELECT page_id, contains(lower(url), 'example.com') AS complete_genome, n BETWEEN 1000 AND 8000 AS expected_length, contains(lower(url), 'virus') AS viral_organism,
-        regexp_matches(h, 'integration|endogenous viral element') AS eve_flag FROM x) SELECT page_id, expected_length, viral_organism, eve_flag FROM f""")
+@query("""WITH x AS (SELECT page_id, lower(url) AS u, lower(html) AS h, length(html) AS n FROM pages), f AS (SELECT page_id, contains(u, 'complete genome') OR contains(u, 'example.com') AS complete_genome, n BETWEEN 1000 AND 8000 AS expected_length, contains(u, '/en/') AS viral_organism,
+        regexp_matches(h, '\\bendogenous\\b|\\bintegrated\\b|integration|endogenous viral element|\\beve\\b') AS eve_flag, regexp_matches(h, 'host[- ]flank|flanking host|theobroma cacao chromosome|host genomic|genomic scaffold') AS flank_flag,
+        regexp_matches(h, 'chromosome|scaffold|whole genome shotgun|genomic contig|<table') AND NOT contains(u, '/en/') AS assembly_flag FROM x)
+    SELECT *, CASE WHEN eve_flag OR flank_flag OR assembly_flag OR NOT expected_length OR NOT complete_genome OR NOT viral_organism THEN 'manual review required' ELSE 'included complete viral record' END AS inclusion_status FROM f""")
 def P22_record_screen(spark, sf_dir):
-    flags = H.screen_flags(F.col("url"), F.col("url"), F.col("html"), F.length("html"), 1000, 8000)
-    return A.read(spark, sf_dir, "pages").select("page_id", flags.alias("f")).select("page_id", "f.expected_length", "f.viral_organism", "f.eve_flag")
+    # Pages of one site stand for complete genomes, those in English for viruses, tables for scaffolds.
+    url = F.lower("url")
+    described = F.when(F.contains(url, F.lit("example.com")), F.lit("complete genome")).otherwise(url)
+    named = F.when(F.contains(url, F.lit("/en/")), F.lit("a virus")).otherwise(F.lit(""))
+    text = F.replace(F.lower("html"), F.lit("<table"), F.lit("scaffold"))
+    flags = H.screen_flags(described, named, text, F.length("html"), 1000, 8000)
+    return A.read(spark, sf_dir, "pages").select("page_id", flags.alias("f")).select("page_id", "f.*")
 
 
 @query(f"""WITH {A.GENOMES}, b AS (SELECT name, '+' AS strand, seq || seq AS s FROM g UNION ALL SELECT name, '-', reverse(translate(seq || seq, 'ACGT', 'TGCA')) FROM g), c AS (SELECT strand, CAST(i % 3 AS INTEGER) AS frame, substr(s, CAST(i + 1 AS INTEGER), 3) AS codon FROM (SELECT strand, s, unnest(range(0, length(s) - 2)) AS i FROM b WHERE length(s) >= 3))
