@@ -25,8 +25,8 @@ from loopweave.llm.storage import materialize
 
 #: Tables of one hash, axes that a hash gives, and members that a bucket is to have.
 TABLES, PROBES, MEMBERS = 6, 2, 64
-#: Members of a block.
-BLOCK = 512
+#: Members of a block: a bucket of m sends each vector m / BLOCK times.
+BLOCK = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,9 +62,9 @@ def codes_of(x: np.ndarray, hashes: int, tables: int, probes: int = PROBES) -> n
     return np.stack(out, axis=1)
 
 
-def plan(n: int, axes: int) -> tuple[int, int]:
-    """Hashes of a table, and tables, for groups of up to ``n`` vectors."""
-    hashes = max(1, math.ceil(math.log(max(n, 1) / MEMBERS) / math.log(axes))) if n > MEMBERS else 1
+def plan(n: int, axes: int, hashes: int | None = None) -> tuple[int, int]:
+    """Hashes of a table, and tables, for groups of up to ``n`` vectors; more tables make up for more hashes."""
+    hashes = hashes or max(1, math.ceil(math.log(max(n, 1) / MEMBERS) / math.log(axes))) if n > MEMBERS else 1
     return hashes, TABLES + 2 * (hashes - 1)
 
 
@@ -84,47 +84,58 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _compare(threshold: float, tables: int, per_table: int):
+def bucket_codes(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
+    """:func:`codes_of`, with as many codes in each table whatever the dimension."""
+    codes, most = codes_of(x, hashes, tables), PROBES**hashes
+    return np.concatenate([codes] + [codes[:, :, -1:]] * (most - codes.shape[2]), axis=2) if codes.shape[2] < most else codes
+
+
+def _compare(threshold: float, hashes: int, tables: int):
     def run(group: pa.Table) -> pa.Table:
         table, code, i, j = (group.column(c)[0].as_py() for c in ("tab", "code", "i", "j"))
         block = group.column("block").to_numpy()
         ids, n = group.column("cid").to_numpy(), group.column("n").to_numpy()
         x = group.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-        codes = group.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), tables, per_table)
         order = np.argsort(ids, kind="stable")
-        ids, n, x, codes, block = ids[order], n[order], x[order], codes[order], block[order]
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        ids, n, x, block = ids[order], n[order], x[order], block[order]
+        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        close = x[left] @ x[right].T >= threshold
-        if i == j:
-            close = np.triu(close, 1)
-        a, b = np.nonzero(close)
-        a, b = left[a], right[b]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(left), 512):
+            p, q = np.nonzero(unit[left[low : low + 512]] @ unit[right].T >= threshold)
+            p += low
+            a.append(left[p] if i != j else left[p[p < q]])
+            b.append(right[q] if i != j else right[q[p < q]])
+        a, b = np.concatenate(a), np.concatenate(b)
         # A pair counts in the first bucket that its vectors share: that of the lowest table, then code.
+        some, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        codes = bucket_codes(x[some], hashes, tables) if len(some) else np.zeros((0, tables, 1), np.int64)
         counted = np.ones(len(a), bool)
         for low in range(0, len(a), 1 << 15):
-            ca, cb = codes[a[low : low + (1 << 15)]], codes[b[low : low + (1 << 15)]]
+            high = min(low + (1 << 15), len(a))
+            ca, cb = codes[at[low:high]], codes[at[len(a) + low : len(a) + high]]
             shared = (ca[:, : table + 1, :, None] == cb[:, : table + 1, None, :]).any(axis=3)
             own = np.where(shared[:, table], ca[:, table], np.iinfo(np.int64).max).min(axis=1) == code
-            counted[low : low + (1 << 15)] = own & ~shared[:, :table].any(axis=(1, 2))
+            counted[low:high] = own & ~shared[:, :table].any(axis=(1, 2))
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, a[counted], n[b[counted]])
         np.add.at(links, b[counted], n[a[counted]])
         root = forest(a, b, len(ids))
-        some = (links > 0) | (root != np.arange(len(ids)))
-        return pa.table({"cid": ids[some], "links": links[some], "root": ids[root][some]})
+        told = (links > 0) | (root != np.arange(len(ids)))
+        return pa.table({"cid": ids[told], "links": links[told], "root": ids[root][told]})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, hashes: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each row of ``vectors``.
 
     Vectors are compared if their labels are equal and not null and they have
     equally many components.  Null and zero vectors, and those with null or
     non-finite components, link with nothing and are their own component; so is
     a row without a ``vec_id``, which isn't compared.  Repeated rows are vectors
-    of their own.  Other columns are ignored.
+    of their own.  Other columns are ignored.  ``hashes`` is the number of hashes
+    that a table joins up; by default it follows from the number of vectors.
     """
     v = F.transform("embedding", lambda c: c.cast("double"))
     good = F.coalesce(
@@ -146,7 +157,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     classes = materialize(classes, "vector-classes")
     shape = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).agg(F.max("n"), F.max("d")).first()
     most, d = shape[0] or 0, shape[1] or 1
-    hashes, tables = plan(most, 2 << max(0, (d - 1).bit_length()))
+    hashes, tables = plan(most, 2 << max(0, (d - 1).bit_length()), hashes)
     per_table = PROBES**hashes
 
     def encode(batches):
@@ -156,9 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 x = part.column(batch.schema.get_field_index("vec")).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, int(size))
-                codes = codes_of(x, hashes, tables)
-                if codes.shape[2] < per_table:
-                    codes = np.concatenate([codes] + [codes[:, :, -1:]] * (per_table - codes.shape[2]), axis=2)
+                codes = bucket_codes(x, hashes, tables)
                 flat = codes.reshape(part.num_rows, -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "codes"])
@@ -176,8 +185,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     # A block is compared with itself and with each other block of its bucket.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     dealt = dealt.select(*bucket, "cid", "block", F.explode(pairs).alias("p")).select(*bucket, "cid", "block", "p.i", "p.j")
-    members = dealt.join(coded.select("cid", "n", "vec", "codes"), "cid")
-    found = members.groupBy(*bucket, "i", "j").applyInArrow(_compare(threshold, tables, per_table), "cid long, links long, root long")
+    members = dealt.join(coded.select("cid", "n", "vec"), "cid")
+    found = members.groupBy(*bucket, "i", "j").applyInArrow(_compare(threshold, hashes, tables), "cid long, links long, root long")
     found = materialize(found, "vector-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))

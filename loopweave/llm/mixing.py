@@ -205,10 +205,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
-    """The mix itself: ``docs`` with each row as often as it is taken."""
-    names = docs.columns
+    """The mix itself: ``docs`` with each row as often as it is taken, and with all its columns.
+
+    See :func:`mix`: a document without words is never taken, and neither is one
+    of a source without words.  ``doc_id`` must hold integers or null.
+    """
     decided = mix(docs.select("doc_id", "source", "text"), weights, share, cap, seed).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
-    cells = decided.select(*(F.col(c).alias(f"_{c}") for c in decided.columns))
-    rows = docs.withColumn("_words", word_count(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return rows.join(cells, same).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
+    # The row is kept in one column, so that its names can't clash with others.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), word_count(F.col("text").cast("string")).alias("words"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    taken = rows.join(decided, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -12,6 +12,7 @@ groups, until one group is left.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache, reduce
@@ -21,6 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from loopweave.llm.storage import materialize
@@ -50,7 +52,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: Texts that are one id wherever they stand, as the tokenizer looks for them before all else.
+        self.special = re.compile("|".join(re.escape(x.content.lower()) for x in self.model.get_added_tokens_decoder().values()).encode() or b"(?!)")
         names = self.model.get_vocab(with_added_tokens=False)
         #: Whether an id ends a run of letters.
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -60,8 +63,13 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _is_special(self, word: bytes) -> bool:
+        """Whether a word, in any case, holds one of the special texts; it is then tokenized as it is."""
+        return b"|>" in word and self.special.search(word.lower()) is not None
+
     def _learn(self, parts: set[bytes]) -> None:
-        texts = {x: x.decode("utf-8", "replace").lower() for x in parts}
+        texts = {x: x.decode("utf-8", "replace") for x in parts}
+        texts = {x: text if self._is_special(x) else text.lower() for x, text in texts.items()}
         # A run of letters is one unit, so the ids of many of them can be told apart when they are made at once.
         runs = [x for x, text in texts.items() if text.isalpha()]
         for low in range(0, len(runs), 4096):
@@ -81,7 +89,9 @@ class WordTokenizer:
         for w in words:
             low = w.lower()
             stem = low.rstrip(MARKS)
-            if stem and len(stem) < len(low) and (stem[-1:].isalnum() or stem.decode("utf-8", "replace").lower()[-1].isalnum()):
+            if self._is_special(low):
+                parts[w] = (w, b"")
+            elif stem and len(stem) < len(low) and (stem[-1:].isalnum() or stem.decode("utf-8", "replace").lower()[-1].isalnum()):
                 parts[w] = (stem, low[len(stem) :])
             else:
                 parts[w] = (low, b"")
@@ -203,7 +213,7 @@ PACKED = "piece int, start long, length long, ids_crc32 long, sequence_id long,
 def _round(pieces: DataFrame, number: int, groups: int, last: bool, length: int, most: int) -> DataFrame:
     """Pack each group; pieces of bins left open have no ``sequence_id``, except in the last round."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    doc_type = pa.string() if kind == "string" else pa.int64()
+    doc_type = to_arrow_type(pieces.schema["doc_id"].dataType)
 
     def run(batches):
         bins, now, seq = Bins(length, most), None, 0

@@ -31,8 +31,8 @@ SAMPLE = 20_000
 PREFIXES = range(3, 9)
 #: Labelled documents with it, and share of toxic ones among them, that make a beginning an insult.
 SUPPORT, PURITY = 5, 0.9
-#: The most insults that a lexicon has.
-INSULTS = 2000
+#: Insults that may be sent to tasks; a lexicon with more fails.
+INSULTS = 200_000
 
 # Words by class.
 THREATS = "kill hurt beat destroy shoot stab strangle tuer frapper töten schlagen umbringen matar golpear".split()
@@ -43,6 +43,8 @@ REPORTS = "said says say told wrote quoted claimed reported dit disait écrit sa
 KNOWN = dict.fromkeys("idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns".split(), 2.0)
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, NEGATED, REPORTED = range(9)
+#: What the grammar says within a clause: that an insult or a threat counts, or that it is negated or reported.
+COUNTS, HELD = 101, 102
 #: What a clause may be found to be, the gravest first.
 KINDS = ("threat to a target", "insult to a target", "insult", "threat", "reported", "negated")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n|]")
@@ -100,7 +102,8 @@ def reported_speech() -> Transducer:
 
 
 def clause_kinds() -> Transducer:
-    """States are sets of what the clause has had; the output at its end is 1 + its kind, or 0."""
+    """States are sets of what the clause has had; the output at its end is 1 + its kind, or 0, and COUNTS, HELD or 0 before."""
+    says = {INSULT: COUNTS, THREAT: COUNTS, REPORTED: HELD, NEGATED: HELD}
     had = {INSULT: 1, THREAT: 2, TARGET: 4, REPORTED: 8, NEGATED: 16}
     arcs = {}
     for state, symbol in product(range(32), range(REPORTED + 1)):
@@ -108,7 +111,7 @@ def clause_kinds() -> Transducer:
             tests = (state & 6 == 6, state & 5 == 5, state & 1, state & 2, state & 8, state & 16)
             arcs[state, symbol] = (0, next((k + 1 for k, t in enumerate(tests) if t), 0))
         else:
-            arcs[state, symbol] = (state | had.get(symbol, 0), 0)
+            arcs[state, symbol] = (state | had.get(symbol, 0), says.get(symbol, 0))
     return Transducer(arcs)
 
 
@@ -139,30 +142,36 @@ class Lexicon:
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """By kind, the logarithm of the matched clauses' weights; then their density and the number of different insults."""
-    sums, words, state, weight, insults = [0.0] * len(KINDS), 0, 0, 0.0, set()
-    arcs, of = GRAMMAR.arcs, lexicon.of
+    """By kind, the logarithm of the matched clauses' weights; then their density and the number of different insults in them.
+
+    Only what the grammar says counts: a clause that is more than negated or
+    reported weighs as much as its live words, others as much as those held.
+    """
+    sums, words, state, live, held, insults = [0.0] * len(KINDS), 0, 0, 0.0, 0.0, set()
+    arcs, of, live_kinds = GRAMMAR.arcs, lexicon.of, 4
 
     def close(kind: int) -> None:
         if kind:
-            sums[kind - 1] += weight
+            sums[kind - 1] += live if kind <= live_kinds else held
 
     for match in TOKEN.finditer(text.lower()):
         symbol, w = of(match.group())
         words += 1
         if symbol:
-            state, kind = arcs[state, symbol]
+            state, said = arcs[state, symbol]
             if symbol == END:
-                close(kind)
-                weight = 0.0
-            elif w and symbol in (INSULT, THREAT):
-                weight += w
+                close(said)
+                live = held = 0.0
+            elif said == COUNTS:
+                live += w
                 if symbol == INSULT:
                     insults.add(match.group()[:8])
+            elif said == HELD:
+                held += w
         elif state:
             state = arcs[state, OTHER][0]
     close(arcs[state, END][1])
-    total = sum(sums[:4])
+    total = sum(sums[:live_kinds])
     return [*(math.log1p(x) for x in sums), math.log1p(100 * total / (words + 20)), math.log1p(len(insults))]
 
 
@@ -199,11 +208,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> L
 
     total = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count("*").alias("n")).collect()}
     sums = rows.mapInArrow(count, "start string, other long, toxic long").groupBy("start").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    pure = sums.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other"))))
+    pure = materialize(sums.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other")))), "pure-beginnings")
     # Of beginnings of one another that stand in the same documents, or nearly so, the longest is taken.
     longer = pure.select(F.expr("substring(start, 1, length(start) - 1)").alias("_start"), F.col("toxic").alias("_toxic"))
     starts = pure.join(longer, (F.col("start") == F.col("_start")) & (F.col("_toxic") >= PURITY * F.col("toxic")), "left_anti")
-    kept = starts.orderBy(F.desc("toxic"), "start").limit(INSULTS).collect()
+    kept = starts.limit(INSULTS + 1).collect()
+    if len(kept) > INSULTS:
+        raise ValueError(f"more than {INSULTS} insults were learned; raise SUPPORT or take a smaller sample")
     scale = [total.get(k, 0) + 1 for k in (0, 1)]
     return Lexicon({r["start"]: max(0.5, math.log((r["toxic"] + 0.5) / scale[1]) - math.log((r["other"] + 0.5) / scale[0])) for r in kept})
 
@@ -256,6 +267,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the documents that are scored toxic; rows without an id stay."""
+    """``docs`` without the documents that are scored toxic, with all their columns.
+
+    Null and empty texts are judged like texts without matches and rows without
+    an id stay; of rows that share an id all go if one is toxic.  An empty table
+    stays empty.
+    """
     gone = toxicity_scores(docs, labels, threshold=threshold).where("predicted = 1").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

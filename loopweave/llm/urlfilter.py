@@ -12,6 +12,7 @@ exact, and looking up needs no join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,17 +23,20 @@ from pyspark.sql import functions as F
 
 from loopweave.llm.storage import materialize
 
-#: Bits a key and hashes a key of each level; about one key in a hundred passes wrongly.
-BITS, HASHES = 10, 7
+#: Share of keys that pass a level wrongly, from the second level on.
+WRONG = 0.01
+#: The fewest bits of a level.
+LEAST_BITS = 1024
 #: The bytes that all levels of a cascade may have: what is sent to every task.
 MAX_BYTES = 64 << 20
 
 
 class Bloom:
-    """A Bloom filter of 64-bit keys that hash well already."""
+    """A Bloom filter of ``n`` 64-bit keys that hash well already; of others a share of ``wrong`` passes."""
 
-    def __init__(self, n: int, salt: int):
-        self.size = max(64, BITS * n + 7 & ~7)
+    def __init__(self, n: int, salt: int, wrong: float = WRONG):
+        self.hashes = max(1, math.ceil(-math.log2(wrong)))
+        self.size = max(LEAST_BITS, math.ceil(1.45 * self.hashes * n) + 7 & ~7)
         self.salt = np.uint64((salt * 0x9E3779B97F4A7C15 + 1) % 2**64)
         self.bits = np.zeros(self.size // 8, np.uint8)
 
@@ -41,7 +45,9 @@ class Bloom:
             x = (keys ^ self.salt) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
             y = (x * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-            return (x + np.arange(HASHES, dtype=np.uint64)[:, None] * y) % np.uint64(self.size)
+            z = x + np.arange(self.hashes, dtype=np.uint64)[:, None] * y
+            # Mixed once more, as steps of one width fall together in small filters.
+            return (((z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)) % np.uint64(self.size)
 
     def add(self, keys: np.ndarray) -> None:
         at = self._at(keys).ravel()
@@ -105,18 +111,20 @@ def candidates(rules: Sequence[tuple[str, str]]) -> Column:
 def build_cascade(keys: DataFrame, listed: Sequence[str], max_bytes: int = MAX_BYTES) -> Cascade:
     """The cascade of ``listed`` keys over the column ``key`` (hashes) of ``keys``.
 
-    Level 0 is made from the list.  One pass over the corpus finds the keys that
-    pass it, grouped as they are found, so neither the universe nor a hot key is
-    gathered; the keys among them that aren't listed are level 0's false
-    positives, one in a hundred of the universe's keys at most, and their number
-    is checked against the bound before they are fetched.
+    Level 0 is made from the list, with so many bits a key that about as many
+    keys of the corpus pass it wrongly as are listed, however many there are:
+    their number is estimated first.  One pass over the corpus finds the keys
+    that pass, grouped as they are found, so neither the universe nor a hot key
+    is gathered; the number of those that aren't listed is checked against the
+    bound before they are fetched.
     """
     spark = keys.sparkSession
     if not listed:
         return Cascade([])
     hashes = spark.createDataFrame([(x,) for x in listed], "k string").select(key_hash(F.col("k")).alias("key")).distinct()
     held = np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)
-    levels = [Bloom(len(held), 0)]
+    universe = keys.agg(F.approx_count_distinct("key", 0.05)).first()[0]
+    levels = [Bloom(len(held), 0, min(WRONG, len(held) / max(1, universe)))]
     levels[0].add(held)
     filter_ = spark.sparkContext.broadcast(levels[0])
 
@@ -129,9 +137,9 @@ def build_cascade(keys: DataFrame, listed: Sequence[str], max_bytes: int = MAX_B
     both = passed.unionByName(hashes.select("key", F.lit(1).alias("listed"))).groupBy("key").agg(F.max("listed").alias("listed"))
     wrong = materialize(both.where("listed = 0").select("key"), "false-positives")
     n = wrong.count()
-    if BITS * (n + len(held)) // 4 > max_bytes:
+    if levels[0].size // 8 + 2 * (n + len(held)) > max_bytes:
         raise ValueError(f"{len(held)} listed keys and {n} false positives need more than {max_bytes} bytes; split the list")
-    others = np.array([r[0] for r in wrong.collect()], np.int64).view(np.uint64)
+    others = wrong.toArrow().column(0).to_numpy().view(np.uint64)
     while len(others):
         level = Bloom(len(others), len(levels))
         level.add(others)

@@ -11,6 +11,7 @@ names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -50,29 +51,32 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def split_header(data: bytes) -> tuple[dict[str, str], int] | None:
-    """The fields of a record's header and where its block starts; None if the header isn't whole."""
-    end = data.find(b"\r\n\r\n")
+def split_header(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """The fields of the header of the record at ``at`` and where its block starts; None if the header isn't whole."""
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"no WARC record starts with {lines[0][:40]!r}")
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
 
 
 def records_of(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an inflated stream; no more than one and a block is held."""
-    data = b""
+    """The records of an inflated stream; no more than one and a block is held, and each byte is moved once."""
+    data, need = bytearray(), 0
     for chunk in chunks:
         data += chunk
-        while data and (found := split_header(data)):
-            fields, at = found
-            end = at + int(fields["content-length"]) + 4
+        at = 0
+        while len(data) - at > need and (found := split_header(data, at)):
+            fields, start = found
+            end = start + int(fields["content-length"]) + 4
             if len(data) < end:
+                need = end - at - 1
                 break
-            yield fields, data[:end]
-            data = data[end:]
+            yield fields, bytes(data[at:end])
+            at, need = end, 0
+        del data[:at]
     if data:
         raise ValueError("the archive ends within a record")
 
@@ -93,12 +97,13 @@ def write_monolithic(pages: DataFrame, at: str) -> DataFrame:
     """Write one gzip stream for each partition, each row a response.
 
     Returns ``(archive, seq, page_id, payload_bytes, same)`` for each record,
-    ``same`` being the payload's SHA-256.  An archive takes the name of its
-    partition, so a task that is run again replaces it by the same records.
+    ``same`` being the payload's SHA-256.  Each attempt of a task writes an
+    archive of its own; that of the attempt whose rows are kept is the one they
+    name.
     """
 
     def run(batches):
-        uri = f"{at}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        uri = f"{at}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         with AtomicFile(uri) as out:
             engine, seq = zlib.compressobj(1, zlib.DEFLATED, 31), 0
             for batch in batches:
@@ -139,12 +144,13 @@ def normalise(archives: DataFrame, at: str) -> DataFrame:
     ``archives`` has their URIs and, in ``known``, which of their records are
     to become revisits of which page.  Each archive is streamed by one task,
     whatever its size; beside the new archive stands its sidecar index, a line
-    for each record.  Returns the new archives' URIs and numbers of records.
+    for each record.  Returns the new archives' URIs and numbers of records;
+    archives of attempts that were given up are named nowhere.
     """
 
-    def rewritten(uri: str, targets: dict[int, int]) -> int:
+    def rewritten(uri: str, targets: dict[int, int]) -> tuple[str, int]:
         fs, path = filesystem(uri)
-        new, offset, seq = f"{at}/{uri.rpartition('/')[2]}", 0, 0
+        new, offset, seq = f"{at}/{uri.rpartition('/')[2].partition('.')[0]}-{uuid.uuid4().hex}.warc.gz", 0, 0
         with fs.open_input_stream(path, compression=None) as source, AtomicFile(new) as out, AtomicFile(f"{new}.idx") as index:
             for fields, data in records_of(inflated(source)):
                 page, digest = _page(fields["warc-record-id"]), fields["warc-payload-digest"].partition(":")[2]
@@ -157,13 +163,13 @@ def normalise(archives: DataFrame, at: str) -> DataFrame:
                 index.write(("\t".join("" if x is None else str(x) for x in cells) + "\n").encode())
                 offset += len(packed)
                 seq += 1
-        return seq
+        return new, seq
 
     def run(batches):
         for batch in batches:
             for uri, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = rewritten(uri, {x["seq"]: x["last"] for x in known or ()})
-                yield pa.RecordBatch.from_pydict({"archive": [uri], "records": pa.array([n], pa.int64())})
+                new, n = rewritten(uri, {x["seq"]: x["last"] for x in known or ()})
+                yield pa.RecordBatch.from_pydict({"archive": [new], "records": pa.array([n], pa.int64())})
 
     count = max(1, archives.count())
     return archives.select("archive", "known").repartition(count).mapInArrow(run, "archive string, records long")
@@ -218,9 +224,11 @@ def archive_pages(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     raw, at = new_dir(spark, "warc-raw"), new_dir(spark, "warc")
     records = materialize(write_monolithic(pages, raw), "warc-list")
     archives = materialize(revisits(records, least_bytes), "warc-archives")
-    done = normalise(archives, at).agg(F.sum("records")).first()[0]
+    done = materialize(normalise(archives, at), "warc-done")
     remove(spark, raw)
-    return read_index(spark, at) if done else spark.createDataFrame([], INDEX)
+    if not done.agg(F.sum("records")).first()[0]:
+        return spark.createDataFrame([], INDEX)
+    return read_index(spark, at).join(done.select("archive"), "archive", "left_semi").select(*(c.split()[0] for c in INDEX.split(", ")))
 
 
 def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:

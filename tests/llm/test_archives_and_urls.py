@@ -1,9 +1,11 @@
 import gzip
 import hashlib
 import json
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,24 @@ def test_cascade_is_exact_over_its_universe(spark):
         urlfilter.build_cascade(hashed, listed, max_bytes=100)
 
 
+def test_levels_stay_small_however_many_keys(spark):
+    keys = spark.range(3_000_000).select(F.xxhash64("id").alias("key"))
+    listed = ["example.com/"]
+    cascade = urlfilter.build_cascade(keys.unionByName(spark.createDataFrame([(x,) for x in listed], "k string").select(urlfilter.key_hash(F.col("k")).alias("key"))), listed)
+    assert cascade.bytes() < 2000
+    assert keys.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [int(cascade.has(b.column(0).to_numpy().view(np.uint64)).sum())]}) for b in batches), "n long").agg(F.sum("n")).first()[0] == 0
+
+
+def test_many_small_records_and_a_large_one():
+    some = [warc.record(i, "u", b"x" * (i % 50), "d", None, False) for i in range(100_000)] + [warc.record(1, "u", b"y" * 30_000_000, "d", None, False)]
+    whole = b"".join(some)
+    start = time.time()
+    got = [data for _, data in warc.records_of(whole[i : i + (4 << 20)] for i in range(0, len(whole), 4 << 20))]
+    assert got == some and time.time() - start < 20
+    with pytest.raises(ValueError):
+        list(warc.records_of([whole[:-1]]))
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 64, "b" * 63, "é" * 100_000, "shared passage " * 900 + "x", "y" + "shared passage " * 900, "\x00"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, "a" * 64), (None, "b" * 63), (3, "b" * 63)]

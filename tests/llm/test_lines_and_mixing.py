@@ -175,6 +175,18 @@ def test_mixed_rows(spark):
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    df = documents(spark, 200).withColumns({c: F.lit(c) for c in ("_doc_id", "size", "copies", "words", "row", "_nth")})
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and got.where("copies <> 'copies' or row <> 'row'").count() == 0 and got.count() > 0
+    assert mixing.mixed(df.where("false")).count() == 0
+
+
+def test_very_long_texts_are_sized_whole(spark):
+    df = spark.createDataFrame([(1, "word " * 700_000, "a"), (2, "word " * 300_000, "a"), (3, "w", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {1: 700_000, 2: 300_000, 3: 1}
+
+
 def test_the_flight_keeps_the_sums():
     rng = np.random.default_rng(3)
     size, p = rng.integers(1, 100, 500), rng.uniform(0.05, 0.95, 500)

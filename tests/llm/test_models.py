@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -25,6 +26,81 @@ def corpus(spark, n=900):
     return spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plainly(text, lexicon):
+    """The features, by a plain reading of the grammar's three rules, clause by clause."""
+    sums, insults, words = [0.0] * 6, set(), 0
+    tokens = toxicity.TOKEN.findall(text.lower())
+    clauses = [[]]
+    left = 0
+    for token in tokens:
+        words += 1
+        symbol, weight = lexicon.of(token)
+        if symbol == toxicity.END:
+            clauses.append([])
+            left = 0
+            continue
+        if symbol == toxicity.NEGATION:
+            left = toxicity.REACH
+        else:
+            clauses[-1].append((token, symbol, weight, left > 0))
+            left = max(0, left - 1)
+    for clause in clauses:
+        reported, live, held_back, had = False, 0.0, 0.0, set()
+        for token, symbol, weight, negated in clause:
+            if symbol == toxicity.REPORT:
+                reported = True
+            elif symbol in (toxicity.INSULT, toxicity.THREAT):
+                if negated or reported:
+                    held_back += weight
+                    had.add("negated" if negated else "reported")
+                else:
+                    live += weight
+                    had.add(symbol)
+                    if symbol == toxicity.INSULT:
+                        insults.add(token[:8])
+            elif symbol == toxicity.TARGET:
+                had.add(symbol)
+        threat, insult, target = (x in had for x in (toxicity.THREAT, toxicity.INSULT, toxicity.TARGET))
+        tests = (threat and target, insult and target, insult, threat, "reported" in had, "negated" in had)
+        kind = next((k for k, t in enumerate(tests) if t), None)
+        if kind is not None:
+            sums[kind] += live if kind < 4 else held_back
+    return [*(math.log1p(x) for x in sums), math.log1p(100 * sum(sums[:4]) / (words + 20)), math.log1p(len(insults))]
+
+
+def test_features_equal_a_plain_reading():
+    rng = random.Random(2)
+    lexicon = toxicity.Lexicon({"vequ": 1.5, "abc": 0.7})
+    words = ["vequtant", "abcx", "idiot", "kill", "hurt", "you", "them", "not", "never", "said", "told", "house", "river", ".", "!", "\n", "; "]
+    for _ in range(2000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))
+        assert np.allclose(toxicity.features(text, lexicon), plainly(text, lexicon)), text
+    assert toxicity.features("you are not an idiot", lexicon)[-1] == 0 and toxicity.features("he said you idiot", lexicon)[-1] == 0
+
+
+def test_scores_and_lexicon_equal_brute_force(spark):
+    docs, labels = corpus(spark, 300)
+    known = [r for r in labels.collect() if not held(r["doc_id"], 3, 1)]
+    texts = {}
+    for r in docs.where("text is not null and doc_id is not null").collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    counts: dict = {}
+    for r in known:
+        for text in texts.get(r["doc_id"], ()):
+            found = {w[:k] for w in toxicity.TOKEN.findall(text.lower()) if len(w) >= 3 for k in toxicity.PREFIXES if k <= len(w)}
+            for x in found:
+                counts.setdefault(x, [0, 0])[r["toxic"]] += 1
+    pure = {x: c for x, c in counts.items() if c[1] >= toxicity.SUPPORT and c[1] >= toxicity.PURITY * sum(c)}
+    want = {x for x, c in pure.items() if not any(y[:-1] == x and d[1] >= toxicity.PURITY * c[1] for y, d in pure.items())}
+    lexicon = toxicity.learn_lexicon(docs.select("doc_id", "text"), toxicity.labelled(labels, "toxic", 3, 1))
+    assert set(lexicon.insults) == want
+    rows = [(toxicity.features(t, lexicon), r["toxic"], 1) for r in known for t in texts.get(r["doc_id"], ())]
+    w = toxicity.fit_logistic(rows, toxicity.N_FEATURES)
+    for r in toxicity.toxicity_scores(docs, labels).join(docs.withColumnRenamed("score", "s"), "doc_id").where("doc_id <> 5").collect():
+        z = float(np.dot(w[:-1], toxicity.features(r["text"] or "", lexicon)) + w[-1])
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def held(i, folds, k):
     return i is not None and zlib.crc32(str(i).encode()) % folds == k
 

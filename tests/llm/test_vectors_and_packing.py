@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -53,7 +54,8 @@ def test_vectors_equal_brute_force(spark):
     assert got == brute(rows[:-1] + [(3001, rows[5][1], rows[5][2])])
 
 
-def test_large_bucket_is_cut_into_blocks(spark):
+def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 512)
     rng = np.random.default_rng(1)
     v = rng.normal(size=16)
     rows = [(i, [float(c) for c in v + rng.normal(scale=0.02, size=16)], 1) for i in range(1300)]
@@ -61,17 +63,19 @@ def test_large_bucket_is_cut_into_blocks(spark):
     assert tuple(r) == (1299, 0, 1300)
 
 
-def test_recall_near_the_threshold(spark):
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_near_the_threshold(spark, hashes):
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(400, 64))
+    n = 400 // hashes**2
+    base = rng.normal(size=(n, 64))
     base /= np.linalg.norm(base, axis=1)[:, None]
     off = rng.normal(size=base.shape)
     off -= (off * base).sum(1)[:, None] * base
     off /= np.linalg.norm(off, axis=1)[:, None]
-    c = rng.uniform(0.931, 0.95, 400)[:, None]
+    c = rng.uniform(0.931, 0.95, n)[:, None]
     rows = [(i, [float(v) for v in x], 1) for i, x in enumerate(np.r_[base, c * base + np.sqrt(1 - c * c) * off])]
-    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).agg(F.sum("n_links")).first()[0]
-    assert 0.95 * 800 <= found <= 800
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), hashes=hashes).agg(F.sum("n_links")).first()[0]
+    assert 0.95 * 2 * n <= found <= 2 * n
 
 
 def test_larger_corpora_join_hashes():
@@ -87,12 +91,12 @@ def test_empty_tables(spark):
 
 def test_words_make_the_ids_of_the_whole():
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     rng = random.Random(1)
     letters = "aAbBéÉßŒ中文١²½Ⅷ'’\"“”….,;:!?*$%&#|)]}>-–_<|end́̀   \t\n\x0b\x0c\r\x1c\x85🙂İıſK가ᄀ"
     model = packing.WordTokenizer(PATH)
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 40)))
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", " "]
+    for k in range(3000):
+        text = "".join(rng.choice([*letters, *special] if k % 3 == 0 else letters) for _ in range(rng.randrange(0, 40)))
         ids = np.frombuffer(b"".join(next(packing.token_ids([text.encode()], model))), "<u4").tolist()
         assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -100,7 +104,7 @@ def test_words_make_the_ids_of_the_whole():
 def test_packing(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["river", "Mill,", "été", "qwrt"]) for _ in range(rng.choice([0, 3, 400, 3000, 9000]))) for _ in range(150)]
-    rows = [*enumerate(texts), (900, None), (None, "no id"), (3, texts[3]), (901, "x" * 5000), (902, "long " * 400_000)]
+    rows = [*enumerate(texts), (900, None), (None, "no id"), (3, texts[3]), (901, "x" * 5000), (903, "in <|endoftext|>a<|startoftext|>.<|EndOfText|> word"), (902, "long " * 400_000)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, piece int").repartition(5)
     got = [r.asDict() for r in packing.pack_documents(df, PATH).collect()]
     whole = Tokenizer.from_file(PATH)
@@ -128,10 +132,28 @@ def test_rounds_of_groups(spark):
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = packing.pack(pieces, 100, most=16, group=200)
     r = got.agg(F.count("*"), F.count_distinct("sequence_id"), F.sum("length"), F.count_distinct("doc_id")).first()
-    assert r[0] == r[3] == 3000 and r[1] <= 1.04 * r[2] / 100
+    # A plain best fit of one stream with as many open bins; the rounds may cost three in a hundred more.
+    free, plain = [], 0
+    for _, _, _, size, _ in rows:
+        fits = [f for f in free if f >= size]
+        if fits:
+            free.remove(min(fits))
+            free.append(min(fits) - size)
+        else:
+            plain += 1
+            if len(free) == 16:
+                free.remove(min(free))
+            free.append(100 - size)
+    assert r[0] == r[3] == 3000 and r[1] <= 1.03 * plain
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n <> m or n > 100").count() == 0
 
 
+def test_other_kinds_of_ids(spark):
+    for kind, ids in (("int", [1, None]), ("string", ["a", None]), ("smallint", [3, 4])):
+        got = packing.pack_documents(spark.createDataFrame([(i, "some words") for i in ids], f"doc_id {kind}, text string"), PATH)
+        assert got.schema["doc_id"].dataType.simpleString() == kind and {r["doc_id"] for r in got.collect()} == set(ids)
+
+
 def test_best_fit_and_closing():
     bins = packing.Bins(10, 2)
     assert bins.put(6, "a") == [] and bins.put(7, "b") == []
