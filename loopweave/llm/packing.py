@@ -59,6 +59,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.long: list[bytes] = []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,11 +83,15 @@ class WordTokenizer:
         self.known.update(zip(rest, self._encode([texts[x] for x in rest]), strict=True))
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of a set of words, as little-endian 32-bit numbers."""
-        if len(self.known) > WORDS:
-            self.known = {b"": b""}
+        """A table that has the ids of all these words, as little-endian 32-bit numbers; it holds until the next call."""
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+            known[b""] = b""
+        for x in self.long:
+            known.pop(x, None)
         parts = {}
-        for w in words:
+        for w in words.difference(known):
             low = w.lower()
             stem = low.rstrip(MARKS)
             if self._is_special(low):
@@ -95,15 +100,13 @@ class WordTokenizer:
                 parts[w] = (stem, low[len(stem) :])
             else:
                 parts[w] = (low, b"")
-        known = self.known
-        new = {x for pair in parts.values() for x in pair if x not in known}
+        new = {x for pair in parts.values() for x in pair}.difference(known)
         if new:
             self._learn(new)
-        found = {w: known[stem] + known[marks] for w, (stem, marks) in parts.items()}
-        for x in new:
-            if len(x) > WORD_BYTES:
-                del known[x]
-        return found
+        for w, (stem, marks) in parts.items():
+            known[w] = known[stem] + known[marks]
+        self.long = [x for some in (parts, new) for x in some if len(x) > WORD_BYTES]
+        return known
 
 
 @cache
@@ -131,15 +134,15 @@ def pieces_of(ids: Iterable[bytes], length: int, end_id: int) -> list[tuple[int,
 def token_ids(texts: list[bytes], model: WordTokenizer) -> Iterator[Iterable[bytes]]:
     """Each text's ids, in blocks: those of short texts together, those of a long one as they are asked for."""
     short = [x.split() if len(x) <= LONG else None for x in texts]
-    ids = model.learn({w for words in short for w in words or ()})
+    of = model.learn(set().union(*(words for words in short if words))).__getitem__
+    ids = [None if words is None else b"".join(map(of, words)) for words in short]
 
     def blocks(text: bytes) -> Iterator[bytes]:
         for words in word_blocks(text):
-            found = model.learn({*words})
-            yield b"".join([found[w] for w in words])
+            yield b"".join(map(model.learn({*words}).__getitem__, words))
 
-    for text, words in zip(texts, short, strict=True):
-        yield blocks(text) if words is None else [b"".join([ids[w] for w in words])]
+    for text, found in zip(texts, ids, strict=True):
+        yield blocks(text) if found is None else [found]
 
 
 def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
