@@ -12,15 +12,15 @@ def without_version(name: Column) -> Column:
     return F.substring_index(name, ".", 1)
 
 
-def accession_keys(*names: Column) -> Column:
-    """All names that a record goes by, with and without version, each once and in order; blanks are left out."""
-    given = F.filter(F.transform(F.array(*names), lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+def accession_keys(names: Column) -> Column:
+    """All names of an array that a record goes by, with and without version, each once and in order; blanks are left out."""
+    given = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.array_sort(F.array_distinct(F.concat(given, F.transform(given, without_version))))
 
 
-def alias_index(records: DataFrame, names: list[Column], order: list[str]) -> DataFrame:
+def alias_index(records: DataFrame, names: Column, order: list[str]) -> DataFrame:
     """``records`` under each of their names, column ``alias``; a name that several have goes to the first by ``order``."""
-    each = records.withColumn("alias", F.explode(accession_keys(*names)))
+    each = records.withColumn("alias", F.explode(accession_keys(names)))
     first = W.Window.partitionBy("alias").orderBy(*order)
     return each.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 

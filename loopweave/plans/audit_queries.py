@@ -194,7 +194,7 @@ def J8_composite_lookup(spark, sf_dir):
 def J9_alias_lookup(spark, sf_dir):
     rows = A.read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(".", F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))
     docs = A.read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("doc_id").cast("string").alias("d"))
-    index = lookups.alias_index(docs, [F.when(F.col("doc_id") % 2 == 0, F.concat("d", F.lit(".1"))).otherwise(F.col("d"))], ["doc_id"])
+    index = lookups.alias_index(docs, F.array(F.when(F.col("doc_id") % 2 == 0, F.concat("d", F.lit(".1"))).otherwise(F.col("d"))), ["doc_id"])
     return lookups.by_alias(rows, "name", index, ["n_chars"]).drop("name")
 
 
@@ -227,7 +227,7 @@ def U3_one_sided(spark, sf_dir):
     SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(ids, list_transform(ids, lambda p: split_part(p, '.', 1))))), ' ') AS keys FROM y""")
 def P21_accession_keys(spark, sf_dir):
     named = F.concat_ws(".", F.col("page_id").cast("string"), (F.col("page_id") % 4).cast("string"))
-    keys = lookups.accession_keys(F.split_part("url", F.lit("/"), F.lit(3)), named, F.lit(" "))
+    keys = lookups.accession_keys(F.array(F.split_part("url", F.lit("/"), F.lit(3)), named, F.lit(" ")))
     return A.read(spark, sf_dir, "pages").select("page_id", F.array_join(keys, " ").alias("keys"))
 
 

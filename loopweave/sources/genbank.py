@@ -60,17 +60,3 @@ def parse_records(text: str) -> list[dict]:
             }
         )
     return out
-
-
-def parse_any(text: str) -> list[dict]:
-    """Names and sequences of a GenBank or FASTA file, whichever it is."""
-    text = text or ""
-    if re.search(r"^LOCUS\b", text, re.M):
-        return [{"name": r["name"], "fmt": "genbank", "seq": r["seq"], "rec": i} for i, r in enumerate(parse_records(text))]
-    if text.lstrip().startswith(">"):
-        found = []
-        for i, part in enumerate(re.split(r"^>", text.lstrip(), flags=re.M)[1:]):
-            head, _, body = part.partition("\n")
-            found.append({"name": (head.split() or [""])[0], "fmt": "fasta", "seq": re.sub(r"\s", "", body), "rec": i})
-        return found
-    raise ValueError("a file is neither GenBank nor FASTA")

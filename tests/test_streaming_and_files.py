@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from loopweave.sources import files, sinks
 from loopweave.sources.genbank import parse_location
@@ -48,6 +49,36 @@ def test_annotated_records(spark, tmp_path):
     assert parse_location("<3..>7") == (1, [{"start": 2, "end": 7}])
 
 
+def test_tolerant_reading_aliases_and_staging(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x one\nACG\n")
+    (tmp_path / "c.gb").write_text(GENBANK + GENBANK.replace("AB000001", "AB000002"))
+    (tmp_path / "d.txt").write_text(GENBANK.replace("AB000001", "AB000003"))
+    (tmp_path / "combined_all.gb").write_text(GENBANK.replace("AB000001", "AB000009"))
+    (tmp_path / "notes.txt").write_text("neither of both")
+    path = str(tmp_path)
+    with pytest.raises(Exception, match="neither GenBank nor FASTA"):
+        files.load_genomes(spark, path).collect()
+    assert {r["name"] for r in files.load_genomes(spark, path, tolerant=True).collect()} == {"x", "AB000001", "AB000002", "AB000003", "AB000009"}
+    index = files.annotated_index(files.read_genbank(spark, path, glob="*.gb"))
+    assert {r["alias"]: r["name"] for r in index.collect()} == {"AB000001.2": "AB000001", "AB000001": "AB000001", "c": "AB000001", "AB000002.2": "AB000002", "AB000002": "AB000002"}
+    wanted = spark.createDataFrame([("AB000001.2",), ("AB000002.7",), ("Q.1",)], "accession string")
+    mine = spark.createDataFrame([("AB000001.2", "here")], "alias string, path string")
+    got = {r["accession"]: (r["place"], r["path"]) for r in files.staged(wanted, mine, index.select("alias", F.lit("there").alias("path"))).collect()}
+    assert got == {"AB000001.2": (0, "here"), "AB000002.7": (1, "there"), "Q.1": (None, None)}
+
+
+def test_loose_tables(spark, tmp_path):
+    (tmp_path / "named.csv").write_text(",a,b\na,0,x\nb,,0\n")
+    (tmp_path / "bare.csv").write_text("a,b\n0,0.5\nnan,0\n")
+    one = lambda f: {(r["a"], r["b"]): r["dist"] for r in files.read_loose_matrix(spark, str(tmp_path / f)).collect()}
+    assert one("named.csv") == {("a", "a"): 0.0, ("a", "b"): None, ("b", "a"): None, ("b", "b"): 0.0}
+    assert one("bare.csv") == {("a", "a"): 0.0, ("a", "b"): 0.5, ("b", "a"): None, ("b", "b"): 0.0}
+    (tmp_path / "w.csv").write_text("Genome,Start,assigned_cluster,end\n g1 ,x,3,9\ng2,50,oops,9\n")
+    assert [tuple(r) for r in files.read_windows(spark, str(tmp_path / "w.csv"), strict=False).collect()] == [("g1", 0, 3), ("g2", 50, 0)]
+    with pytest.raises(Exception, match="no label"):
+        files.read_windows(spark, str(tmp_path / "w.csv")).collect()
+
+
 def test_tables_and_sinks(spark, tmp_path):
     (tmp_path / "m.csv").write_text(",a,b\na,0,0.5\nb,oops,0\n")
     got = {(r["a"], r["b"]): r["dist"] for r in files.read_matrix(spark, str(tmp_path / "m.csv")).collect()}
