@@ -84,14 +84,17 @@ _ARROW_CHUNK = pa.struct([("place", pa.int64()), ("stored", pa.int32()), ("size"
 def write_packs(docs: DataFrame, at: str) -> DataFrame:
     """Chunk each document and write the chunks; ``(row, doc_id, n_bytes, chunks)`` with where they are.
 
-    A pack takes the name of its partition, so a task that is run again leaves
-    the same pack.  A chunk is written once in a pack; what a task remembers for
+    Each attempt of a task writes a pack of its own, numbered by the attempt, and
+    the rows that are kept name the pack that counts, whatever order rows come
+    in when a task is run again.  A chunk is written once in a pack; what a task remembers for
     that is a digest for each chunk of its partition.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        part = TaskContext.get().partitionId()
+        part = TaskContext.get().taskAttemptId()
+        if part >= 1 << 23:
+            raise ValueError("pack numbers have 23 bits; start a new application")
         zstd, known, offset, row = zstandard.ZstdCompressor(level=6), {}, 0, 0
         with AtomicFile(f"{at}/{part}.pack") as out:
             for batch in batches:
@@ -205,5 +208,6 @@ def media_report(docs: DataFrame) -> DataFrame:
     other; other columns are ignored.
     """
     at = new_dir(docs.sparkSession, "media")
+    filesystem(at)  # fails here rather than in tasks
     written = materialize(write_packs(docs, at), "media-written")
     return read_media(settle_chunks(written), at)

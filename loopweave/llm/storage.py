@@ -48,16 +48,27 @@ def remove(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Kinds of URI that tasks can write files to beside Spark, with the settings of the system's own client.
+SCHEMES = ("file", "hdfs", "s3", "gs")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it, for code inside tasks."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system of a URI and the path in it, for code inside tasks.
+
+    Spark's own readers know more kinds of store (``s3a``, ``abfs``, ``viewfs``),
+    whose Hadoop settings don't reach this client; those fail.
+    """
+    scheme = uri.partition(":")[0] if ":" in uri else "file"
+    if scheme not in SCHEMES:
+        raise ValueError(f"files can't be written to {uri} by tasks; spark.checkpoint.dir must be one of {', '.join(SCHEMES)} for archives and media")
+    return pafs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
 class AtomicFile:
     """A file that appears under its name only when it is whole.
 
-    Attempts of one task write to names of their own and then move the file to
-    the common name, so a task that is run again leaves one file.
+    Names must be those of one attempt of a task, as some stores don't move a
+    file onto another.
     """
 
     def __init__(self, uri: str):

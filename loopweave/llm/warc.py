@@ -222,6 +222,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """
     spark = pages.sparkSession
     raw, at = new_dir(spark, "warc-raw"), new_dir(spark, "warc")
+    filesystem(raw)  # fails here rather than in tasks
     records = materialize(write_monolithic(pages, raw), "warc-list")
     archives = materialize(revisits(records, least_bytes), "warc-archives")
     done = materialize(normalise(archives, at), "warc-done")
