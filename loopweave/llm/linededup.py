@@ -32,6 +32,8 @@ LETTERS = "eaintorshludcm "
 SEGMENTS = 12
 #: Parts by whose multiples lines' common beginnings and ends are measured.
 SLICES = 48
+#: Bits of a sieve, in groups: at most 16 MB are sent to tasks.
+GROUP_BITS, MOST_GROUPS, BITS_PER_KEY = 1 << 15, 1 << 12, 16
 #: A document's number and a line's place in it make one number: doc * PLACES + place.
 PLACES = 1 << 32
 #: The number that documents without an id have in it: beyond all others.
@@ -263,6 +265,22 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("own")).where("low <> high and own").select("key")
 
 
+def sieved(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` that a join on ``keys`` with ``wanted`` may keep, so that it needn't shuffle all of them.
+
+    Each wanted key sets a bit by its hash.  Rows whose bit is set without
+    being wanted stay too; the more there are to be wanted, up to all rows.
+    """
+    groups = min(MOST_GROUPS, max(1, -(-BITS_PER_KEY * wanted.count() // GROUP_BITS)))
+    bit = F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(groups * GROUP_BITS)).cast("int")
+    word, at = (bit % GROUP_BITS / 64).cast("int"), bit % 64
+    words = wanted.groupBy((bit / GROUP_BITS).cast("int").alias("_group"), word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at)).alias("bits"))
+    full = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    sets = words.groupBy("_group").agg(full.alias("m")).select("_group", F.transform(F.sequence(F.lit(0), F.lit(GROUP_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("_bits"))
+    marked = rows.withColumn("_at", bit).join(F.broadcast(sets), (F.col("_at") / GROUP_BITS).cast("int") == F.col("_group"))
+    return marked.where(F.getbit(F.get("_bits", (F.col("_at") % GROUP_BITS / 64).cast("int")), F.col("_at") % 64) == 1).select(rows.columns)
+
+
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int = FEW) -> DataFrame:
     """``line`` of distinct lines that are near an earlier one.
 
@@ -274,11 +292,16 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
     """
     ways = pieces(edits)
     each = [F.struct(F.col(f"k{k}").alias("key"), F.lit(k % len(ways)).alias("piece"), F.lit(k < len(ways)).alias("mine")) for k in range(2 * len(ways))]
-    keyed = firsts.select("line", "place", "n", F.explode(F.array(*each)).alias("way")).select("line", "place", "n", "way.*").where("key is not null")
-    keyed = keyed.withColumn("own", F.col("mine") & F.col("piece").isin([k for k, (_, shift) in enumerate(ways) if shift == 0]))
-    posted = materialize(keyed.join(materialize(_shared(keyed), "met-keys"), "key"), "postings")
-    texts = line_texts(docs, firsts.join(posted.select("line").distinct(), "line"))
-    rows = posted.withColumn("c", F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(_lower_class(F.col("n"), edits))).join(texts.select("line", "counts"), "line")
+    own = F.col("mine") & F.col("piece").isin([k for k, (_, shift) in enumerate(ways) if shift == 0])
+    keyed = firsts.select("line", F.explode(F.array(*each)).alias("way")).select("line", "way.*").where("key is not null")
+    met = materialize(_shared(keyed.withColumn("own", own)), "met-keys")
+    posted = materialize(sieved(keyed, ["key"], met).join(met, "key"), "postings")
+    some = posted.select("line").distinct()
+    lines = materialize(sieved(firsts.drop(*(c for c in firsts.columns if c.startswith("k"))), ["line"], some).join(some, "line"), "met-lines")
+    texts = line_texts(docs, lines)
+    mine = F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(_lower_class(F.col("n"), edits))
+    rows = posted.join(lines.select("line", "place", "n"), "line").join(texts.select("line", "counts"), "line").withColumns({"own": own, "c": mine})
+    rows = materialize(rows, "placed")
     final, settled = F.lit(False), None
     while True:
         one = F.struct("place", "line")
@@ -308,7 +331,7 @@ def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``(line, text, counts)`` of ``lines``, taken from where they stand first."""
     # Written first, so that its size is known when the join with the texts is planned.
     wanted = materialize(lines.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "pos")).alias("wanted")), "wanted-lines")
-    rows = docs.select(*_row_of(docs), "text")
+    rows = sieved(docs.select(*_row_of(docs), "text"), ["doc", "text_hash"], wanted)
     rows = rows.join(wanted, _same_row(rows, wanted))
     parts = F.struct(F.split("text", "\n").alias("lines"), F.col("wanted"))
     each = rows.select(F.explode(_bind(parts, lambda v: F.transform(v["wanted"], lambda w: F.struct(w["line"].alias("line"), F.get(v["lines"], w["pos"]).alias("text"))))).alias("x"))
