@@ -43,7 +43,9 @@ def mantel(m1: DataFrame, m2: DataFrame, permutations: int, rank: bool = True, s
 
     Both are full matrices ``(a, b, dist)`` of the same labels, at most the kernels' bound.
     """
-    rows = m1.where("a < b").select("a", "b", F.col("dist").alias("x")).join(m2.select("a", "b", F.col("dist").alias("y")), ["a", "b"]).limit(MOST * MOST).toPandas()
+    rows = m1.where("a < b").select("a", "b", F.col("dist").alias("x")).join(m2.select("a", "b", F.col("dist").alias("y")), ["a", "b"]).limit(MOST * MOST + 1).toPandas()
+    if len(rows) > MOST * MOST:
+        raise ValueError(f"a Mantel test takes at most {MOST} labels")
     names = sorted(set(rows["a"]) | set(rows["b"]))
     if not 3 <= len(names) <= MOST:
         raise ValueError(f"a Mantel test needs 3 to {MOST} labels; there are {len(names)}")
