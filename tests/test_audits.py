@@ -92,3 +92,7 @@ def test_windows_go_around_short_circles(spark):
     df = spark.createDataFrame([("s", "ACG"), ("e", "")], "name string, seq string")
     got = {r["start"]: (r["fragment"], r["end_mod"], r["wrap"]) for r in windows.sliding_windows(df, 7, 2).collect()}
     assert got == {0: ("ACGACGA", 1, True), 2: ("GACGACG", 0, True)}
+
+
+def test_ranks_of_an_empty_table(spark):
+    assert stats.average_rank(spark.createDataFrame([], "v double"), "v", "r").count() == 0
