@@ -55,6 +55,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``y`` with ``factor @ y = b`` for a lower triangle, by forward substitution over all columns at once."""
+    y = np.empty_like(b)
+    for i in range(len(b)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors, log determinants and log shares of classes 0 and 1."""
@@ -66,7 +74,7 @@ class Discriminant:
     def scores(self, x: np.ndarray) -> np.ndarray:
         density = []
         for mean, factor, log in zip(self.means, self.factors, self.logs, strict=True):
-            y = np.linalg.solve(factor, (x - mean).T)
+            y = forward(factor, (x - mean).T)
             density.append(log - 0.5 * (y * y).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
 

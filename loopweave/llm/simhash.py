@@ -91,15 +91,23 @@ def _postings(prints: DataFrame) -> DataFrame:
     return prints.select("*", F.explode(F.array(*keys)).alias("key"))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """The positions at which two fingerprints have the same byte, as bits."""
+    same = [F.when(_byte(a.bitwiseXOR(b), i) == 0, 1 << i).otherwise(0) for i in range(BYTES)]
+    return sum(same[1:], same[0])
+
+
+def _verified(a: Column, b: Column, max_bits: int) -> Column:
+    """Whether a pair shares the guaranteed number of positional bytes and differs in few enough bits."""
+    return (F.bit_count(_shared(a, b)) >= BYTES - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+
 def _is_link(a: Column, b: Column, key: Column, max_bits: int) -> Column:
     """Whether a pair that meets under a key is a link and this its first key."""
-    same = [F.when(_byte(a.bitwiseXOR(b), i) == 0, 1 << i).otherwise(0) for i in range(BYTES)]
-    shared = sum(same[1:], same[0])
-    tally = F.bit_count(shared)
     masks = [sum(1 << p for p in t) for t in TRIPLES]
     first = [next((k for k, m in enumerate(masks) if s & m == m), -1) for s in range(256)]
-    at = F.element_at(F.array(*map(F.lit, first)), shared.cast("int") + 1)
-    return (tally >= BYTES - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits) & (at == F.shiftrightunsigned(key, 24))
+    at = F.element_at(F.array(*map(F.lit, first)), _shared(a, b).cast("int") + 1)
+    return _verified(a, b, max_bits) & (at == F.shiftrightunsigned(key, 24))
 
 
 def link_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -116,7 +124,7 @@ def link_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     prints = prints.select("fp").distinct()
     posted = _postings(prints)
     hubs = posted.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = posted.join(hubs, "key").where("fp <> hub").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= max_bits)
+    near = posted.join(hubs, "key").where("fp <> hub").where(_verified(F.col("fp"), F.col("hub"), max_bits))
     first = connected_components(near.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     known = materialize(
         prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")),
