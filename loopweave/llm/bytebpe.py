@@ -23,6 +23,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,31 @@ LITTLE = sys.byteorder == "little" and array("i").itemsize == 4
 CUT = regex.compile(r"(?<=\S)(?=\s)")
 
 
+#: A character of each class that patterns name, and one of none, which no pattern names by itself.
+CLASSES, NO_CLASS = {r"\p{L}": "\u4e00", r"\p{N}": "\u00b2", r"\s": "\u2003"}, "\u2603"
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+@cache
+def stand_ins() -> dict[int, str]:
+    """Characters that the reference tokenizer puts in another class than the regular expressions here do.
+
+    Both know the classes of different editions of Unicode.  Each such character
+    has one in its place that both put where the reference tokenizer has it.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    place, here = np.zeros((2, sys.maxunicode + 1), np.uint8)
+    for k, name in enumerate(CLASSES):
+        reference = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        place[_codes(bytes(reference.encode_ordinary(every)).decode())] = k + 1
+        here[_codes("".join(regex.findall(f"{name}+", every)))] = k + 1
+    chars = [NO_CLASS, *CLASSES.values()]
+    return {x: chars[place[x]] for x in np.flatnonzero(place != here).tolist()}
+
+
 class ByteBPE:
     """Ids of pieces by a table of ranks, which holds all single bytes."""
 
@@ -64,6 +90,15 @@ class ByteBPE:
             self.shorter[rank] = next((reached[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in reached), -1)
         self.finder.make_automaton()
         self.known: dict[str, bytes] = {"": b""}
+        self.other = stand_ins()
+        self.is_other = np.zeros(sys.maxunicode + 1, bool)
+        self.is_other[list(self.other)] = True
+
+    def pieces(self, text: str) -> list[str]:
+        """What the pattern's matches in ``text`` are."""
+        if text.isascii() or not self.is_other[_codes(text)].any():
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.other))]
 
     def _part(self, token: bytes, rank: int, reached: dict[bytes, int]) -> bool:
         """Whether lower ranks leave ``token`` in two parts that its own merge joins; remembers them."""
@@ -132,7 +167,7 @@ class ByteBPE:
         return b"".join(self._encode_block(x) for x in text_blocks(text))
 
     def _encode_block(self, text: str) -> bytes:
-        pieces, known = self.pattern.findall(text), self.known
+        pieces, known = self.pieces(text), self.known
         if len(known) > PIECES:
             known.clear()
         once = []
