@@ -60,3 +60,33 @@ def parse_records(text: str) -> list[dict]:
             }
         )
     return out
+
+
+def format_record(row: dict, width: int = 60) -> str:
+    """A record of the flat-file format from ``name`` and ``seq`` and, where the row has them, RECORD's other fields.
+
+    ``parse_records`` reads the same fields back, if texts are single lines
+    without ends or runs of white space.
+    """
+    seq, get = row["seq"] or "", lambda k: row.get(k) or ""
+    lines = [f"LOCUS       {row['name'] or '':<16} {len(seq):>11} bp    DNA     {get('topology') or 'linear'}"]
+    if get("description"):
+        lines.append(f"DEFINITION  {get('description')}.")
+    if get("accessions"):
+        lines.append(f"ACCESSION   {' '.join(row['accessions'])}")
+    if get("id"):
+        lines.append(f"VERSION     {get('id')}")
+    if get("organism"):
+        lines.append(f"  ORGANISM  {get('organism')}")
+    lines.append("FEATURES             Location/Qualifiers")
+    for f in get("features") or []:
+        spans = ",".join(f"{p['start'] + 1}..{p['end']}" for p in f["parts"])
+        spans = f"join({spans})" if len(f["parts"]) > 1 else spans
+        lines.append(f"     {f['type']:<16}{f'complement({spans})' if f['strand'] < 0 else spans}")
+        quoted = [(k, v.replace('"', '""')) for k, values in (f["qualifiers"].items() if hasattr(f["qualifiers"], "items") else f["qualifiers"]) for v in values]
+        lines += [f'                     /{k}="{v}"' for k, v in quoted]
+    lines.append("ORIGIN")
+    lower = seq.lower()
+    for i in range(0, len(lower), 60):
+        lines.append(f"{i + 1:>9} " + " ".join(lower[j : j + 10] for j in range(i, min(i + 60, len(lower)), 10)))
+    return "\n".join([*lines, "//"]) + "\n"
