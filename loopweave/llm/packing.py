@@ -69,10 +69,10 @@ class WordTokenizer:
         return b"|>" in word and self.special.search(word.lower()) is not None
 
     def _learn(self, parts: set[bytes]) -> None:
+        # The tokenizer folds case itself, letter by letter, which str.lower doesn't.
         texts = {x: x.decode("utf-8", "replace") for x in parts}
-        texts = {x: text if self._is_special(x) else text.lower() for x, text in texts.items()}
         # A run of letters is one unit, so the ids of many of them can be told apart when they are made at once.
-        runs = [x for x, text in texts.items() if text.isalpha()]
+        runs = [x for x, text in texts.items() if text.isalpha() and "".join(c.lower() for c in text).isalpha()]
         for low in range(0, len(runs), 4096):
             some = runs[low : low + 4096]
             data = self._encode([" ".join(texts[x] for x in some)])[0]

@@ -160,3 +160,12 @@ def test_best_fit_and_closing():
     assert bins.put(3, "c") == [["b", "c"]]
     assert bins.put(8, "d") == [] and bins.put(9, "e") == [["d"]]
     assert bins.close() == [["e"], ["a"]]
+
+
+def test_capitals_of_all_alphabets_make_the_ids_of_the_whole():
+    plain, model, rng = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH), random.Random(9)
+    capitals = [c for c in map(chr, range(0x80, 0x2FFFF)) if c.isalpha() and c != c.lower()]
+    words = ["ΟΔΟΣ", "ΣΑΣ.", "İSTANBUL", "Σ", "ΑΣ'", "ẞ"] + ["".join(rng.choices(capitals + list("aσß.,"), k=rng.randint(1, 8))) for _ in range(5000)]
+    known = model.learn({w.encode() for w in words})
+    for w in words:
+        assert np.frombuffer(known[w.encode()], "<u4").tolist() == plain.encode(w, add_special_tokens=False).ids, w
