@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.llm.components import connected_components
-from loopweave.llm.shingles import near_copies
+from loopweave.llm.shingles import first_copies
 from loopweave.llm.storage import materialize
 from loopweave.llm.words import word_blocks
 
@@ -163,9 +163,12 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Fingerprints that differ in four bits miss most pairs at a Jaccard
     similarity of 0.8, so groups are those of the shingles themselves.  Rows
-    without a ``doc_id`` stay, as nothing tells them apart, and link no others;
-    rows that repeat a kept document's id stay with it.
+    without a ``doc_id`` stay, as nothing tells them apart, and link no others.
+    Of rows that share an id but not the text each is judged by its own text;
+    rows that repeat the kept one's id and text stay with it.
     """
-    found = near_copies(docs, words)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = first_copies(docs, words)
+    gone = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first_hash")))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

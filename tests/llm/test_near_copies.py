@@ -55,3 +55,13 @@ def test_near_copies_equal_brute_force(spark):
     got = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert got.count(None) == 1
     assert sorted(d for d in got if d is not None) == kept_by_brute_force(rows)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    one, near = " ".join(f"a{i}" for i in range(60)), " ".join([*(f"a{i}" for i in range(59)), "other"])
+    rows = [(3, one), (5, one), (5, "like nothing else here at all"), (3, near), (3, one), (8, None), (8, "not null")]
+    got = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    kept = [t for d, t in got if d == 3]
+    assert (5, "like nothing else here at all") in got and (5, one) not in got
+    assert kept in ([one, one], [near])  # one text of the group, with rows that repeat it
+    assert [r for r in got if r[0] == 8] == [(8, "not null"), (8, None)] or len([r for r in got if r[0] == 8]) == 2
