@@ -56,10 +56,17 @@ def read_newick(texts: DataFrame, text: str = "tree", by: str = "grp") -> DataFr
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """``(grp, node, root, dist, hops)``: each node's root, the length of the path to it, and its edges; null lengths are 0."""
+    """``(grp, node, root, dist, hops)``: each node's root, the length of the path to it, and its edges; null lengths are 0.
+
+    A parent that is no node, and edges that go round, are errors.
+    """
     anc = edges.select("grp", "node", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("dist"), F.col("parent").isNotNull().cast("long").alias("hops"))
     anc = written(anc.withColumn("root", F.when(F.col("anc").isNull(), F.col("node"))), "depths")
+    rounds = anc.count().bit_length() + 1
     while not anc.where("anc is not null").isEmpty():
+        if not rounds:
+            raise ValueError("edges go round")
+        rounds -= 1
         up = anc.select("grp", F.col("node").alias("anc"), F.col("anc").alias("_anc"), F.col("dist").alias("_dist"), F.col("hops").alias("_hops"), F.col("root").alias("_root"))
         met = anc.where("anc is not null").join(up, ["grp", "anc"], "left")
         lost = F.when(F.col("_hops").isNull(), F.raise_error(F.concat(F.lit("no node is the parent "), F.col("anc").cast("string")))).otherwise(F.col("_anc"))

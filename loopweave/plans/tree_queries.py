@@ -78,14 +78,14 @@ def S17_newick_round_trip(spark, sf_dir):
     return found.join(above, ["grp", "parent"], "left").select("grp", "name", F.col("above").alias("parent"), "length")
 
 
-_HEAP = "e AS (SELECT (c_custkey - 1) // 100 AS grp, (c_custkey - 1) % 100 + 1 AS node, CASE WHEN c_custkey % 100 <> 1 THEN ((c_custkey - 1) % 100 + 1) // 2 END AS parent, c_name AS name, 1.0::DOUBLE + c_nationkey AS length FROM customer)"
+_HEAP = "e AS (SELECT c_custkey // 100 AS grp, c_custkey % 100 + 1 AS node, CASE WHEN c_custkey % 100 > 0 THEN (c_custkey % 100 + 1) // 2 END AS parent, c_name AS name, 1.0::DOUBLE + c_nationkey AS length FROM customer)"
 
 
 def _heaps(spark, sf_dir):
     """Customers as binary trees of up to 100 nodes, by their keys."""
-    node = F.expr("cast((c_custkey - 1) % 100 + 1 as int)")
+    node = F.expr("cast(c_custkey % 100 + 1 as int)")
     parent = F.when(node > 1, F.floor(node / 2).cast("int"))
-    return A.read(spark, sf_dir, "customer").select(F.expr("(c_custkey - 1) div 100").alias("grp"), node.alias("node"), parent.alias("parent"), F.col("c_name").alias("name"), (F.lit(1.0) + F.col("c_nationkey")).alias("length"))
+    return A.read(spark, sf_dir, "customer").select(F.expr("c_custkey div 100").alias("grp"), node.alias("node"), parent.alias("parent"), F.col("c_name").alias("name"), (F.lit(1.0) + F.col("c_nationkey")).alias("length"))
 
 
 @query(f"""WITH RECURSIVE {_HEAP}, up AS (SELECT grp, node, node AS anc, 0.0::DOUBLE AS d, 0::BIGINT AS hops FROM e UNION ALL SELECT u.grp, u.node, e.parent, u.d + e.length, u.hops + 1 FROM up u JOIN e ON e.grp = u.grp AND e.node = u.anc WHERE e.parent IS NOT NULL)
