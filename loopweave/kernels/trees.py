@@ -6,6 +6,8 @@ group many of them by Spark.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: The most labels that a matrix may have.
@@ -87,17 +89,22 @@ def splits(edges: list[tuple[int, int, float]], n: int) -> list[frozenset[int]]:
     return sorted(out, key=lambda s: (len(s), sorted(s)))
 
 
+def quoted(name: str) -> str:
+    """A label as tree texts write it: in quotes if it holds marks or white space, quotes doubled."""
+    return name if re.fullmatch(r"[^\s()\[\]{}:;,'\"]+", name) else "'" + name.replace("'", "''") + "'"
+
+
 def newick(edges: list[tuple[int, int, float]], names: list[str], digits: int = 6) -> str:
     """The tree as text, from its last node."""
     kids: dict[int, list[tuple[int, float]]] = {}
     for child, parent, length in edges:
         kids.setdefault(parent, []).append((child, length))
     if not edges:
-        return f"{names[0]};" if names else ";"
+        return f"{quoted(names[0])};" if names else ";"
 
     def text(node: int) -> str:
         inner = ",".join(f"{text(c)}:{length:.{digits}f}" for c, length in kids.get(node, []))
-        name = names[node] if node < len(names) else ""
+        name = quoted(names[node]) if node < len(names) else ""
         return f"({inner}){name}" if inner else name
 
     return text(edges[-1][1]) + ";"

@@ -36,7 +36,7 @@ def spanning_forest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     itself only name it, null names and null or NaN distances link nothing.
     Equal distances go by the pair's names, so the forest is unique.
     """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").cast("double").alias("dist")).where("a is not null and b is not null")
+    pairs = pairs.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").cast("double").alias("dist"))
     names = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
     comps = written(names.select("name", F.col("name").alias("comp")), "components")
     good = pairs.where("a <> b and dist is not null and not isnan(dist)").groupBy("a", "b").agg(F.min("dist").alias("dist"))

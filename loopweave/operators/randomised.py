@@ -7,6 +7,7 @@ are dealt.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -163,7 +164,8 @@ def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame,
                     yield pd.DataFrame({"rep": range(-1, permutations), "threshold": -1, "hits": 0, "n": [0] + [k] * permutations})
                     continue
                 b = np.asarray(ends)
-                g = np.random.default_rng([seed, int.from_bytes(str(name).encode()[-7:], "little")])
+                # The whole name, so that no two names draw alike.
+                g = np.random.default_rng([seed, *hashlib.sha256(str(name).encode()).digest()[:16]])
                 draws = np.vstack([np.asarray(pos)[None, :], g.integers(0, size, (permutations, k))])
                 at = np.searchsorted(b, draws)
                 left, right = b[(at - 1) % len(b)], b[at % len(b)]

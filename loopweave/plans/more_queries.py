@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loopweave.functions import headers as H
 from loopweave.functions import sequences as S
-from loopweave.operators import agreement, alignment, clustering, kmers, matrix, orfs, randomised, stats, tracks, trees, windows
+from loopweave.operators import agreement, alignment, kmers, mantel, matrix, orfs, randomised, stats, tracks, trees
 from loopweave.plans import adapters as A
 from loopweave.plans.queries import SUMMARY, _count, _kmer_sql, _orf_sql, query, rounded
 
@@ -237,18 +237,6 @@ def U2_intersect_names(spark, sf_dir):
     return found.groupBy("strand").agg(F.count_distinct("name").alias("n")).unionByName(both)
 
 
-@query()
-def C1_kmeans_windows(spark, sf_dir):
-    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 50)
-    return clustering.kmeans(clustering.window_profiles(fragments, 4), 8, range(20)).select("name", "start", "label")
-
-
-@query()
-def C2_spherical_kmeans(spark, sf_dir):
-    fragments = windows.sliding_windows(A.genomes(spark, sf_dir), 250, 50)
-    return clustering.kmeans(clustering.window_profiles(fragments, 4), 8, range(5), cosine=True).select("name", "start", "label")
-
-
 @query()
 def C3_agglomerative(spark, sf_dir):
     return trees.cluster(_panel_distances(spark, sf_dir), 4).select("name", "cluster")
@@ -271,8 +259,7 @@ def C6_bootstrap_support(spark, sf_dir):
 
 @query()
 def R1_mantel(spark, sf_dir):
-    full = lambda m: matrix.mirrored(m)
-    return rounded(randomised.mantel(full(_panel_distances(spark, sf_dir)), full(_composition_distances(spark, sf_dir)), 5000))
+    return rounded(mantel.mantel_pairs(_panel_distances(spark, sf_dir), _composition_distances(spark, sf_dir), 5000))
 
 
 @query()

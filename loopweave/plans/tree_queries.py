@@ -1,14 +1,14 @@
-"""Registered queries on sequence files, edge tables of trees, and spanning forests."""
+"""Registered queries on sequence files, edge tables of trees, spanning forests and scaling."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loopweave.operators import edges, forest
+from loopweave.operators import edges, forest, landmarks
 from loopweave.plans import adapters as A
 from loopweave.plans.queries import query, rounded
-from loopweave.sources import flat
+from loopweave.sources import flat, staging
 from loopweave.sources.places import new_dir
 
 _HEADER = "CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, 'und') || ' ' || coalesce(source, 'none')"
@@ -133,3 +133,19 @@ def C3_single_linkage(spark, sf_dir):
     price = F.col("l_extendedprice").cast("double")
     rows = A.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), F.abs(price - F.lead(price).over(order)).alias("dist"))
     return forest.single_linkage(rows.where("b is not null"), height=_HEIGHT)
+
+
+@query(f"""WITH {A.PANEL} SELECT name || '.1' AS accession, CASE WHEN CAST(substr(name, 4) AS BIGINT) % 2 = 0 THEN 0 ELSE 1 END::INT AS place, name || '.1.fasta' AS path, length(seq)::BIGINT AS length, sha256(seq) AS sha256 FROM p""")
+def S19_stage_inputs(spark, sf_dir):
+    """Benchmark items staged by accession from two places, the first of which has every second one, with versions."""
+    items = A.panel(spark, sf_dir)
+    even = F.substring("name", 4, 20).cast("bigint") % 2 == 0
+    first = items.where(even).select(F.concat("name", F.lit(".1")).alias("name"), "seq", F.lit(0).alias("place"))
+    records = first.unionByName(items.select("name", "seq", F.lit(1).alias("place")))
+    return staging.stage(items.select(F.concat("name", F.lit(".1")).alias("accession")), records, new_dir(spark, "staged"))
+
+
+@query()
+def C4_landmark_scaling(spark, sf_dir):
+    """All embeddings on two axes, by Euclidean distances to a panel of 200."""
+    return landmarks.landmark_scaling(A.points(spark, sf_dir).select(F.col("id").alias("name"), "vec"))

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from loopweave.operators import clustering
-from loopweave.plans import more_queries as M
+from loopweave.operators import clustering, models
+from loopweave.plans import model_queries as Q
 
 
 @pytest.mark.parametrize("cosine", [False, True])
@@ -18,20 +18,20 @@ def test_kmeans(spark, cosine):
         clustering.kmeans(points.limit(2), 3)
 
 
-@pytest.mark.parametrize("query, seeds, cosine", [("C1_kmeans_windows", 20, False), ("C2_spherical_kmeans", 5, True)])
-def test_windows_are_clustered_with_the_reference_parameters(spark, tmp_path, monkeypatch, query, seeds, cosine):
+@pytest.mark.parametrize("query, seeds, spherical", [("C1_kmeans_windows", 20, False), ("C2_spherical_kmeans", 5, True)])
+def test_all_windows_are_clustered_with_the_references_parameters(spark, monkeypatch, tmp_path, query, seeds, spherical):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (730, 260, 51, 0)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     seen = []
-    once = clustering.kmeans
+    once = models.fit
 
-    def kmeans(points, k, tried, cosine=False):
-        seen.append((len(points.first()["vec"]), k, len(tried), cosine))
-        return once(points, k, tried[:2], cosine)
+    def fit(seqs, some, *args, **more):
+        seen.extend(some)
+        return once(seqs, some[:2], passes=3)
 
-    monkeypatch.setattr(clustering, "kmeans", kmeans)
-    rows = getattr(M, query)(spark, str(tmp_path)).collect()
-    assert seen == [(256, 8, seeds, cosine)]
+    monkeypatch.setattr(models, "fit", fit)
+    rows = getattr(Q, query)(spark, str(tmp_path)).collect()
+    assert seen == [models.Model(4, 250, 50, 8, s, spherical) for s in range(seeds)]
     assert {(r["name"], r["start"]) for r in rows} == {(str(i), s) for i, t in enumerate(texts) for s in range(0, len(t), 50)}
-    assert {r["label"] for r in rows} == set(range(8))
+    assert {r["label"] for r in rows} <= set(range(8))

@@ -55,7 +55,8 @@ def test_replicates_and_schemes_are_the_references(monkeypatch):
     for module in ("matrix", "orfs", "tracks"):
         monkeypatch.setattr(M, module, MagicMock())
     monkeypatch.setattr(M.trees, "bootstrap_support", note("C6", 1))
-    for name, at in (("mantel", 2), ("boundary_enrichment", 4), ("two_sample", 3), ("weight_sensitivity", 1)):
+    monkeypatch.setattr(M.mantel, "mantel_pairs", note("mantel", 2))
+    for name, at in (("boundary_enrichment", 4), ("two_sample", 3), ("weight_sensitivity", 1)):
         monkeypatch.setattr(M.randomised, name, note(name, at))
     for query in (M.C6_bootstrap_support, M.R1_mantel, M.R2_boundary_enrichment, M.R4_two_sample, M.R6_weight_sensitivity):
         query(None, "")
