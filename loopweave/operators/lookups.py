@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from loopweave.sources.places import written
+
 
 def without_version(name: Column) -> Column:
     """An accession without what follows its first dot."""
@@ -53,9 +55,10 @@ def misses(looked_up: DataFrame, by: list[str]) -> DataFrame:
 def first_candidate(rows: DataFrame, candidates: Column, table: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``match``, the first of their candidates that ``table`` has as ``key``, and its columns; null without one.
 
-    Candidates are looked up in one join, whatever their number.
+    Candidates are looked up in one join, whatever their number.  Rows are
+    numbered as they are written, so that the join back meets the same numbers.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
     each = keyed.select("_row", F.posexplode(candidates).alias("_at", "_candidate"))
     hits = each.join(table.select(F.col(key).alias("_candidate"), F.struct(*table.columns).alias("_hit")), "_candidate")
     best = hits.groupBy("_row").agg(F.min_by(F.struct(F.col("_candidate").alias("match"), "_hit"), "_at").alias("_best"))

@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.kernels.trees import MOST
+from loopweave.sources.places import written
 
 #: Distinct values of a two-sample test that a task draws for at a time, and replicates.
 BLOCK, REPLICATES = 1 << 15, 50
+#: Places that a task draws at a time.
+DRAWS = 1 << 21
 
 
 def replicates(spark: SparkSession, n: int, draw: Callable[[np.random.Generator], float], seed: int) -> DataFrame:
@@ -148,32 +151,40 @@ def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame,
 
     Each replicate draws, for each name, as many places as it has points.  Names
     without ORFs are left out of both sides, or, unless ``matched``, stay in the
-    replicates' denominator.  Names are dealt out; a replicate's near points are
-    summed over them.
+    replicates' denominator.  Names are dealt out, those with many points in
+    spans of replicates that draw no more than DRAWS places each; a replicate's
+    near points are summed over them.  A name's replicate has a random stream of
+    its own, so results don't depend on the spans.
     """
     ends = orfs.select("name", F.explode(F.array("start0", "end0")).alias("b")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("b")).alias("ends"))
-    counts = points.groupBy("name").agg(F.array_sort(F.collect_list("pos0")).alias("pos"))
+    counts = points.groupBy("name").agg(F.array_sort(F.collect_list("pos0")).alias("pos"), F.count("*").alias("k"))
     rows = counts.join(lengths.select("name", "genome_len"), "name").join(ends, "name", "left" if not matched else "inner")
     limits = np.array(sorted(near))
+    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("k"))).cast("int")
+    span = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1), step), lambda s: span(s, F.least(s + step, F.lit(permutations)))) if permutations else F.array()
+    dealt = rows.select("*", F.explode(F.concat(F.array(span(F.lit(-1), F.lit(0))), drawn)).alias("span"))
+    # Only what was observed needs the points themselves.
+    dealt = dealt.select("name", F.when(F.col("span.first") < 0, F.col("pos")).alias("pos"), "k", "genome_len", "ends", "span.first", "span.last").repartition("name", "first")
 
     def run(batches):
         for pdf in batches:
-            for name, pos, size, ends in zip(pdf["name"], pdf["pos"], pdf["genome_len"], pdf["ends"], strict=True):
-                k, has = len(pos), ends is not None and len(ends) > 0
-                if not has:
-                    yield pd.DataFrame({"rep": range(-1, permutations), "threshold": -1, "hits": 0, "n": [0] + [k] * permutations})
+            for name, pos, k, size, ends, first, last in pdf.itertuples(index=False):
+                reps = np.arange(first, last)
+                if ends is None or not len(ends):
+                    yield pd.DataFrame({"rep": reps, "threshold": -1, "hits": 0, "n": 0 if first < 0 else k})
                     continue
-                b = np.asarray(ends)
                 # The whole name, so that no two names draw alike.
-                g = np.random.default_rng([seed, *hashlib.sha256(str(name).encode()).digest()[:16]])
-                draws = np.vstack([np.asarray(pos)[None, :], g.integers(0, size, (permutations, k))])
+                own = [seed, *hashlib.sha256(str(name).encode()).digest()[:16]]
+                draws = np.asarray(pos)[None, :] if first < 0 else np.vstack([np.random.default_rng([*own, r]).integers(0, size, k) for r in reps.tolist()])
+                b = np.asarray(ends)
                 at = np.searchsorted(b, draws)
                 left, right = b[(at - 1) % len(b)], b[at % len(b)]
                 dist = np.minimum.reduce([np.minimum(np.abs(draws - s), size - np.abs(draws - s)) for s in (left, right)])
                 for t in limits:
-                    yield pd.DataFrame({"rep": range(-1, permutations), "threshold": int(t), "hits": (dist <= t).sum(axis=1), "n": k})
+                    yield pd.DataFrame({"rep": reps, "threshold": int(t), "hits": (dist <= t).sum(axis=1), "n": k})
 
-    each = rows.select("name", "pos", "genome_len", "ends").mapInPandas(run, "rep int, threshold int, hits long, n long")
+    each = dealt.mapInPandas(run, "rep int, threshold int, hits long, n long")
     sums = each.groupBy("rep", "threshold").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     extra = sums.where("threshold = -1").select("rep", F.col("n").alias("more"))
     full = sums.where("threshold >= 0").join(extra, "rep", "left").select("rep", "threshold", (F.col("hits") / F.nullif(F.col("n") + F.coalesce("more", F.lit(0)), F.lit(0))).alias("frac"))
@@ -186,16 +197,14 @@ def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame,
 
 
 def weight_sensitivity(parts: DataFrame, schemes: list[tuple[str, float, float, float]], n: int) -> DataFrame:
-    """``(scheme, overlap, jaccard)``: how far the best ``n`` names change with the weights of the score's parts.
+    """``(scheme, overlap, jaccard, spearman)``: how far the best ``n`` names, and all ranks, change with the weights of the score's parts.
 
     ``parts`` has ``(name, dominant_frac, norm_entropy, switch_rate)``; the first
     scheme is what the others are held against.
     """
-    from loopweave.operators.agreement import jaccard
-    from loopweave.operators.matrix import top_sets
+    from loopweave.operators.sensitivity import against_baseline
 
     weights = F.explode(F.array(*(F.struct(F.lit(s).alias("config"), F.lit(float(a)).alias("wp"), F.lit(float(b)).alias("we"), F.lit(float(c)).alias("ws")) for s, a, b, c in schemes)))
-    scored = parts.select("*", weights.alias("w")).select("name", "w.config", (F.col("w.wp") * (1 - F.col("dominant_frac")) + F.col("w.we") * F.col("norm_entropy") + F.col("w.ws") * F.col("switch_rate")).alias("score"))
-    tops = top_sets(scored.withColumn("score", F.round("score", 9)), n)
-    base = tops.where(F.col("config") == schemes[0][0]).select(F.col("top").alias("base"))
-    return tops.join(F.broadcast(base)).select(F.col("config").alias("scheme"), F.size(F.array_intersect("top", "base")).alias("overlap"), jaccard(F.col("top"), F.col("base")).alias("jaccard"))
+    score = F.col("w.wp") * (1 - F.col("dominant_frac")) + F.col("w.we") * F.col("norm_entropy") + F.col("w.ws") * F.col("switch_rate")
+    scored = written(parts.select("*", weights.alias("w")).select("w.config", "name", F.round(score, 9).alias("score")), "schemes")
+    return against_baseline(scored, schemes[0][0], n).select(F.col("config").alias("scheme"), "overlap", "jaccard", "spearman")

@@ -200,8 +200,12 @@ _SCHEMES = [
 
 
 @query(f"""WITH {A.TRACKS}, {SUMMARY}, c(config, wp, we, ws) AS (VALUES {", ".join(f"('{n}', {p}, {e}, {w})" for n, p, e, w in _SCHEMES)}), sc AS (SELECT config, m.name, round((1 - dominant_frac) * CAST(wp AS DOUBLE) + CAST(we AS DOUBLE) * (entropy_bits / log2(5)) + CAST(ws AS DOUBLE) * switch_rate, 9) AS score FROM m, c),
-    t10 AS (SELECT config, list_sort(list(name)) AS top FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, name) AS r FROM sc) WHERE r <= 10 GROUP BY config)
-    SELECT a.config AS scheme, CAST(len(list_intersect(a.top, b.top)) AS INTEGER) AS overlap, round(len(list_intersect(a.top, b.top)) / CAST(len(list_distinct(list_concat(a.top, b.top))) AS DOUBLE), 6) AS jaccard FROM t10 a, t10 b WHERE b.config = 'equal'""")
+    t10 AS (SELECT config, list_sort(list(name)) AS top FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, name) AS r FROM sc) WHERE r <= 10 GROUP BY config),
+    sh AS (SELECT s.config, s.score AS x, b.score AS y FROM sc s JOIN sc b ON b.name = s.name AND b.config = 'equal'),
+    ra AS (SELECT config, rank() OVER (PARTITION BY config ORDER BY x) + (count(*) OVER (PARTITION BY config, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY config ORDER BY y) + (count(*) OVER (PARTITION BY config, y) - 1) / 2.0 AS ry FROM sh),
+    rho AS (SELECT config, corr(rx, ry) AS spearman FROM ra GROUP BY config)
+    SELECT a.config AS scheme, CAST(len(list_intersect(a.top, b.top)) AS INTEGER) AS overlap, round(len(list_intersect(a.top, b.top)) / CAST(len(list_distinct(list_concat(a.top, b.top))) AS DOUBLE), 6) AS jaccard, round(spearman, 6) + 0.0 AS spearman
+    FROM t10 a JOIN rho ON rho.config = a.config, t10 b WHERE b.config = 'equal'""")
 def R6_weight_sensitivity(spark, sf_dir):
     parts = tracks.complexity(tracks.mosaic_summary(A.tracks(spark, sf_dir).select("name", "start", "label")), 5)
     return rounded(randomised.weight_sensitivity(parts, _SCHEMES, 10))

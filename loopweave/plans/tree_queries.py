@@ -148,4 +148,4 @@ def S19_stage_inputs(spark, sf_dir):
 @query()
 def C4_landmark_scaling(spark, sf_dir):
     """All embeddings on two axes, by Euclidean distances to a panel of 200."""
-    return landmarks.landmark_scaling(A.points(spark, sf_dir).select(F.col("id").alias("name"), "vec"))
+    return rounded(landmarks.landmark_scaling(A.points(spark, sf_dir).select(F.col("id").alias("name"), "vec")))

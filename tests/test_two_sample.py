@@ -29,3 +29,22 @@ def test_blocks_draw_as_permutations_do(spark, monkeypatch, median):
     assert r["observed"] == pytest.approx(observed, abs=1e-12)
     assert r["p"] == pytest.approx(np.mean(np.abs(null) >= abs(observed) - 1e-12), abs=0.05)
     assert abs(r["null_mean"]) < 0.03 and r["null_sd"] == pytest.approx(np.std(null), rel=0.12)
+
+
+def test_enrichment_does_not_depend_on_spans_and_tells_names_apart(spark, monkeypatch):
+    points = spark.createDataFrame([(n, p) for n in ("a_1234567", "b_1234567") for p in range(0, 300, 7)], "name string, pos0 int")
+    orfs = spark.createDataFrame([(n, 10, 200) for n in ("a_1234567", "b_1234567")], "name string, start0 int, end0 int")
+    lengths = spark.createDataFrame([(n, 500) for n in ("a_1234567", "b_1234567")], "name string, genome_len int")
+
+    def one(names):
+        rows = randomised.boundary_enrichment(points.where(F.col("name").isin(names)), orfs, lengths, [5, 20], 60).collect()
+        return sorted(tuple(round(v, 9) for v in r) for r in rows)
+
+    both = one(["a_1234567", "b_1234567"])
+    monkeypatch.setattr(randomised, "DRAWS", 100)
+    assert one(["a_1234567", "b_1234567"]) == both
+    first, second = one(["a_1234567"]), one(["b_1234567"])
+    assert [r[1] for r in first] == [r[1] for r in second] and [r[4:6] for r in first] != [r[4:6] for r in second]
+    # Two names that draw apart spread less than one.
+    assert all(b[5] < max(x[5], y[5]) for b, x, y in zip(both, first, second, strict=True))
+    assert all(r[6] == 60 for r in both)
