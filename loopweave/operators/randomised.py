@@ -196,6 +196,21 @@ def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame,
     )
 
 
+def length_sensitivity(points: DataFrame, orfs: DataFrame, lengths: DataFrame, least: list[int], near: list[int], permutations: int, seed: int = 0) -> DataFrame:
+    """``boundary_enrichment`` for ORFs of each of some least lengths, with ``least_aa``, ``n_orfs``, ``n_names`` and ``seed``.
+
+    Lengths that no ORF has aren't in the result.
+    """
+    done = None
+    for aa in least:
+        long = orfs.where(F.col("aa_len") >= aa)
+        sizes = long.agg(F.count("*").alias("n_orfs"), F.count_distinct("name").alias("n_names"))
+        one = boundary_enrichment(points, long, lengths, near, permutations, seed=seed).join(F.broadcast(sizes))  # one row
+        one = one.withColumns({"least_aa": F.lit(aa), "seed": F.lit(seed)})
+        done = one if done is None else done.unionByName(one)
+    return done
+
+
 def weight_sensitivity(parts: DataFrame, schemes: list[tuple[str, float, float, float]], n: int) -> DataFrame:
     """``(scheme, overlap, jaccard, spearman)``: how far the best ``n`` names, and all ranks, change with the weights of the score's parts.
 

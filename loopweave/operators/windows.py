@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.functions.sequences import at, base_entropy
+from loopweave.functions.sequences import BASES, at, base_entropy
+
+#: Windows whose letters are counted at a time.
+WINDOWS = 1 << 12
 
 
 def sliding_windows(seqs: DataFrame, width: int, step: int, circular: bool = True) -> DataFrame:
@@ -31,11 +36,31 @@ def sliding_windows(seqs: DataFrame, width: int, step: int, circular: bool = Tru
 
 
 def entropy_windows(seqs: DataFrame, width: int, step: int) -> DataFrame:
-    """``(name, start, entropy)`` of circular windows in the sequence extended by its first ``width`` letters."""
-    extended = F.concat("seq", at(F.col("seq"), 0, width)).cast("binary").alias("letters")
-    rows = seqs.where(F.length("seq") > 0).select("name", extended, F.length("seq").alias("n"))
-    rows = rows.select("name", "letters", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("start"))
-    return rows.select("name", "start", at(F.col("letters"), F.col("start"), width).alias("part")).select("name", "start", base_entropy(F.col("part")).alias("entropy"))
+    """``(name, start, entropy)`` of circular windows in the sequence extended by its first ``width`` letters.
+
+    Bases are counted up to each letter once, and windows have differences of
+    these counts, so overlapping windows aren't read again.  The entropy is null
+    for a window without A, C, G or T; a null or empty sequence has no windows.
+    """
+    kind = seqs.schema["name"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, seq in enumerate(batch.column(1)):
+                text = (seq.as_py() or "").encode("latin-1", "replace")  # a byte for each letter
+                letters = np.frombuffer(text + text[:width], np.uint8)
+                for low in range(0, len(text), WINDOWS * step):
+                    starts = np.arange(low, min(len(text), low + WINDOWS * step), step)
+                    ends = np.minimum(starts + width, len(letters))
+                    part = letters[low : ends[-1]]
+                    sums = [np.concatenate([[0], np.cumsum(part == ord(b))]) for b in BASES]
+                    counts = np.stack([c[ends - low] - c[starts - low] for c in sums], axis=1)
+                    total = counts.sum(axis=1)
+                    share = counts / np.maximum(1, total)[:, None]
+                    bits = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(starts))), pa.array(starts, pa.int32()), pa.array(bits, mask=total == 0)], ["name", "start", "entropy"])
+
+    return seqs.select("name", "seq").mapInArrow(run, f"name {kind}, start int, entropy double")
 
 
 def genome_summary(seqs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from loopweave.functions import sequences as S
 from loopweave.operators import agreement, alignment, kmers, mantel, matrix, orfs, randomised, stats, tracks, trees
 from loopweave.plans import adapters as A
 from loopweave.plans.queries import SUMMARY, _count, _kmer_sql, _orf_sql, query, rounded
+from loopweave.sources.places import written
 
 
 @query(f"""WITH {A.GENOMES}, x AS (SELECT name, seq, CAST(length(seq) AS INTEGER) AS n FROM g) SELECT name,
@@ -219,6 +220,16 @@ def R8_orf_length_sensitivity(spark, sf_dir):
     return rows.groupBy("least_aa").agg(F.count("aa_len").alias("n_orfs"), F.count_distinct("name").alias("n_names"), F.max("aa_len").alias("max_aa"))
 
 
+@query()
+def R8_orf_length_permutations(spark, sf_dir):
+    """Are switchpoints nearer to the ends of ORFs of some length than random places, for three least lengths?"""
+    seqs, rows = A.genomes(spark, sf_dir), A.tracks(spark, sf_dir)
+    lengths = seqs.select("name", F.length("seq").alias("genome_len"))
+    points = tracks.switchpoints(rows.select("name", "start", "label")).select("name", "pos0").join(lengths, "name").where("pos0 < genome_len").select("name", "pos0")
+    found = written(orfs.predict_orfs(seqs, 10), "orfs")
+    return rounded(randomised.length_sensitivity(written(points, "points"), found, lengths, [10, 20, 40], [200], 2000))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def J2_missing_labels(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").join(A.read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loopweave.operators import randomised
+from loopweave.operators import randomised, windows
 
 
 def test_more_than_two_million_values(spark):
@@ -48,3 +48,28 @@ def test_enrichment_does_not_depend_on_spans_and_tells_names_apart(spark, monkey
     # Two names that draw apart spread less than one.
     assert all(b[5] < max(x[5], y[5]) for b, x, y in zip(both, first, second, strict=True))
     assert all(r[6] == 60 for r in both)
+
+
+def test_least_lengths_are_tests_of_their_own(spark):
+    points = spark.createDataFrame([("a", p) for p in range(0, 90, 9)], "name string, pos0 int")
+    orfs = spark.createDataFrame([("a", 10, 40, 10), ("a", 50, 80, 30)], "name string, start0 int, end0 int, aa_len int")
+    lengths = spark.createDataFrame([("a", 100)], "name string, genome_len int")
+    got = {r["least_aa"]: r for r in randomised.length_sensitivity(points, orfs, lengths, [5, 20, 99], [3], 40).collect()}
+    assert {k: (r["n_orfs"], r["n_names"], r["seed"]) for k, r in got.items()} == {5: (2, 1, 0), 20: (1, 1, 0)}
+    for aa, r in got.items():
+        alone = randomised.boundary_enrichment(points, orfs.where(F.col("aa_len") >= aa), lengths, [3], 40).first()
+        assert all(abs(r[c] - alone[c]) < 1e-9 for c in ("observed", "p", "null_mean", "null_sd"))
+
+
+def test_entropy_of_windows_from_cumulated_counts(spark):
+    rows = [("a", "ACGTNNACGG" * 3), ("b", "NNNN"), ("c", ""), ("d", None), (None, "AAé" * 5)]
+    got = {(r["name"], r["start"]): r["entropy"] for r in windows.entropy_windows(spark.createDataFrame(rows, "name string, seq string"), 7, 3).collect()}
+    want = {}
+    for name, seq in rows:
+        text = (seq or "") + (seq or "")[:7]
+        for start in range(0, len(seq or ""), 3):
+            part = [text[start : start + 7].count(b) for b in "ACGT"]
+            share = [c / sum(part) for c in part if c]
+            want[name, start] = -sum(p * np.log2(p) for p in share) if share else None
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
