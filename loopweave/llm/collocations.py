@@ -1,11 +1,12 @@
 """Phrases whose words stand together more often than their parts would.
 
-Two passes over the texts count phrases of one to three words.  The first keeps
-no phrases: tasks add hashes to count-min sketches, which are merged cell by
-cell; a cell counts all that falls into it, so no phrase has less than its own
-count.  What is left of the merged sketch is a bit for each cell that reaches the
-least count.  The second pass counts exactly, but only phrases all of whose bits
-are set: all frequent ones, and a few others that exact counts then drop.
+Two kinds of pass over the texts count phrases of one to three words.  Those of
+the first kind, one for each length, keep no phrases: tasks add hashes to
+count-min sketches, which are merged cell by cell; a cell counts all that falls
+into it, so no phrase has less than its own count.  What is left of a merged
+sketch is a bit for each cell that reaches the least count.  The last pass counts
+exactly, but only phrases all of whose bits are set, and those of their parts:
+all frequent ones, and a few others that exact counts then drop.
 Scores, and which phrases a longer one subsumes, follow from exact counts by
 joins.
 """
@@ -29,7 +30,7 @@ TABLE = bytes(10 if b in PARTS else 32 if b in TAB else b + 32 if 65 <= b <= 90
 #: Bytes of text that are counted together.
 CHUNK = 1 << 22
 #: Rows of a sketch; occurrences that a cell may get on average; the fewest and the most cells of a row, as powers of two.
-DEPTH, LOAD, LEAST_BITS, MOST_BITS = 2, 6, 16, 26
+DEPTH, LOAD, LEAST_BITS, MOST_BITS = 2, 12, 16, 26
 #: Cells that travel together, as a power of two.
 BLOCK_BITS = 16
 #: Words of the longest phrase: ids of so many words share a 64-bit number.
@@ -114,25 +115,41 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def frequent_cells(docs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """A bit for each cell of the merged sketch: whether it reaches ``least``; at most ``DEPTH * 2**MOST_BITS / 8`` bytes.
+Bits = dict[int, np.ndarray]
 
-    Each task has one sketch, whose counts stop at 255 or beyond ``least``, and
-    sends blocks of it in which something was counted.  They are merged in a
-    stream of blocks, so no group of them is held at once.
+
+def survivors(chunk: Chunk, hashes: np.ndarray, length: int, held: Bits) -> np.ndarray:
+    """Where phrases of so many words start of which, and of whose parts, no length in ``held`` says that they are rare."""
+    starts = chunk.phrases(length)
+    for part in sorted(held):
+        for first in range(length - part + 1):
+            passed = np.ones(len(starts), bool)
+            for row, at in zip(held[part], cells(hashes, chunk.ids, starts + first, part, int(len(held[part][0]) * 8).bit_length() - 1), strict=True):
+                passed &= (row[at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1 == 1
+            starts = starts[passed]
+    return starts
+
+
+def frequent_cells(docs: DataFrame, length: int, least: int, bits: int, held: Bits) -> np.ndarray:
+    """A bit for each cell of the merged sketch of phrases of ``length`` words: whether it reaches ``least``.
+
+    At most ``DEPTH * 2**MOST_BITS / 8`` bytes.  Only phrases whose parts may be
+    frequent are counted.  Each task has one sketch, whose counts stop at 255 or
+    beyond ``least``, and sends blocks of it in which something was counted.
+    They are merged in a stream of blocks, so no group of them is held at once.
     """
     kind = np.uint8 if least <= 255 else np.uint64
     full, block = np.iinfo(kind).max, 1 << min(bits, BLOCK_BITS)
+    known = docs.sparkSession.sparkContext.broadcast(held)
 
     def count(batches):
         codec, sketch = pa.Codec("zstd"), np.zeros((DEPTH, 1 << bits), kind)
         for batch in batches:
             for chunk in chunks(batch.column(0), batch.column(1).cast(pa.binary())):
                 hashes = chunk.hashes()
-                for length in range(1, LONGEST + 1):
-                    for row, at in enumerate(cells(hashes, chunk.ids, chunk.phrases(length), length, bits)):
-                        at, n = np.unique(at, return_counts=True)
-                        sketch[row, at] += np.minimum(n, full - sketch[row, at]).astype(kind)
+                for row, at in enumerate(cells(hashes, chunk.ids, survivors(chunk, hashes, length, known.value), length, bits)):
+                    at, n = np.unique(at, return_counts=True)
+                    sketch[row, at] += np.minimum(n, full - sketch[row, at]).astype(kind)
         for row in range(DEPTH):
             blocks = sketch[row].reshape(-1, block)
             used = np.flatnonzero(blocks.any(axis=1))
@@ -160,39 +177,38 @@ def frequent_cells(docs: DataFrame, least: int, bits: int) -> np.ndarray:
             yield out()
 
     sent = _texts(docs).mapInArrow(count, "depth int, block int, counts binary").repartition("depth", "block").sortWithinPartitions("depth", "block")
-    held = np.zeros((DEPTH, (1 << bits) // block, block // 8), np.uint8)
+    found = np.zeros((DEPTH, (1 << bits) // block, block // 8), np.uint8)
     for row, at, data in sent.mapInArrow(merge, "depth int, block int, bits binary").toLocalIterator():
-        held[row, at] = np.frombuffer(data, np.uint8)
-    return held.reshape(DEPTH, -1)
+        found[row, at] = np.frombuffer(data, np.uint8)
+    return found.reshape(DEPTH, -1)
 
 
 def phrase_counts(docs: DataFrame, least: int = 10) -> DataFrame:
     """``(lang, words, phrase, f)``: exact counts of all phrases of one to three words that occur ``least`` times in a language.
 
-    A row with no words has the number of all words of the language.  The
-    sketch's width follows from the texts' bytes, up to 2**26 cells a row (16 MB
-    of bits in all); in larger corpora ``least`` should grow with the corpus, as
+    A row with no words has the number of all words of the language.  There is a
+    sketch for each length, as a phrase can't occur more often than its parts.
+    Its width follows from the texts' bytes, up to 2**26 cells a row (48 MB of
+    bits in all); in larger corpora ``least`` should grow with the corpus, as
     otherwise more rare phrases get through to the second pass.  Counts are exact
     in any case.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size * LONGEST / 6 / LOAD))))))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_cells(docs, least, bits))
-    fields = ["lang", "words", "phrase", "f"]
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 6 / LOAD))))))
+    held: Bits = {}
+    for length in range(1, LONGEST + 1):
+        held[length] = frequent_cells(docs, length, least, bits, held)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    fields = ["key", "f"]
 
     def count(batches):
-        held = sent.value
         for batch in batches:
             for chunk in chunks(batch.column(0), batch.column(1).cast(pa.binary())):
                 hashes, base, ids = chunk.hashes(), np.int64(len(chunk.names)), chunk.ids.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(chunk.phrases(1))], pa.int64())], fields)
+                mark = f"\n{chunk.lang}"  # no phrase holds line ends
+                yield pa.RecordBatch.from_arrays([pa.array([mark]), pa.array([len(chunk.phrases(1))], pa.int64())], fields)
                 for length in range(1, LONGEST + 1):
-                    starts = chunk.phrases(length)
-                    for row, at in enumerate(cells(hashes, chunk.ids, starts, length, bits)):
-                        if row == 0:
-                            passed = np.ones(len(at), bool)
-                        passed &= (held[row][at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1 == 1
-                    starts = starts[passed]
+                    starts = survivors(chunk, hashes, length, sent.value)
                     keys = np.zeros(len(starts), np.int64)
                     for k in range(length):
                         keys = keys * base + ids[starts + k]
@@ -201,13 +217,16 @@ def phrase_counts(docs: DataFrame, least: int = 10) -> DataFrame:
                     for _ in range(length):
                         parts.insert(0, chunk.names.take(pa.array(keys % base)))
                         keys //= base
-                    phrases = pc.binary_join_element_wise(*parts, " ")
+                    phrases = pc.binary_join_element_wise(pc.binary_join_element_wise(*parts, " "), mark, "")
                     for low in range(0, len(n), 1 << 15):
-                        some = phrases[low : low + (1 << 15)]
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk.lang] * len(some)), pa.array([length] * len(some), pa.int32()), some, pa.array(n[low : low + (1 << 15)], pa.int64())], fields)
+                        part = slice(low, low + (1 << 15))
+                        yield pa.RecordBatch.from_arrays([phrases[part], pa.array(n[part], pa.int64())], fields)
 
-    counted = _texts(docs).mapInArrow(count, "lang string, words int, phrase string, f long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
+    # The phrase and its language are one column, which makes the rows that are dealt out smaller.
+    counted = _texts(docs).mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    counted = counted.select(F.substring_index("key", "\n", 1).alias("phrase"), F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), "f")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    return counted.where((F.col("phrase") == "") | (F.col("f") >= least)).select("lang", words.alias("words"), "phrase", "f")
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: int = 50) -> DataFrame:
@@ -222,17 +241,23 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, subsumed: in
     by count and then by the phrase's bytes.
     """
     counts = materialize(phrase_counts(docs, least), "phrases")
-    found = counts.where("words >= 2").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("parts"))
-    part = lambda start, n: F.array_join(F.slice("parts", start, n), " ")
-    cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(counts.where("words >= 1").select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side])
-    exact = F.expr("(1000000BD * (cast(a as decimal(18,0)) * cast(a as decimal(18,0)))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
-    lowest = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    inner = found.where(f"words = {LONGEST}").select("lang", "a", F.explode(F.array(*(part(F.lit(i), F.lit(LONGEST - 1)) for i in (1, 2)))).alias("phrase"))
+    of = lambda n: counts.where(F.col("words") == n).select("lang", "phrase", "f", F.split("phrase", " ", -1).alias("w"))
+    named = lambda df, key, **cells: df.select("lang", F.col("phrase").alias(key), *(F.col(c).alias(k) for k, c in cells.items()))
+    exact = lambda x, y: F.expr(f"(1000000BD * (cast(a as decimal(18,0)) * cast(a as decimal(18,0)))) div (cast({x} as decimal(18,0)) * cast({y} as decimal(18,0)))")
+    one = of(1).drop("w")
+    two = of(2).select("lang", "phrase", F.col("f").alias("a"), F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"))
+    two = two.join(named(one, "w1", l="f"), ["lang", "w1"]).join(named(one, "w2", r="f"), ["lang", "w2"])
+    two = materialize(two.select("lang", "phrase", "a", "l", "r", exact("l", "r").alias("score")), "pairs")
+    # What a phrase of three words needs of its words, its pairs know.
+    pair = lambda i: F.array_join(F.slice("w", i, 2), " ")
+    three = materialize(of(3).select("lang", "phrase", F.col("f").alias("a"), pair(1).alias("left"), pair(2).alias("right")), "triples")
+    cut = lambda k, x, y: F.struct(exact(x, y).alias("score"), F.lit(k).alias("k"), F.col(x).alias("l"), F.col(y).alias("r"))
+    met = three.join(named(two, "left", f1="l", f12="a"), ["lang", "left"]).join(named(two, "right", f3="r", f23="a"), ["lang", "right"])
+    cuts = met.select("lang", "phrase", "a", F.least(cut(1, "f1", "f23"), cut(2, "f12", "f3")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    inner = three.select("lang", "a", F.explode(F.array("left", "right")).alias("phrase"))
     over = inner.groupBy("lang", "phrase").agg(F.max("a").alias("over"))
-    kept = lowest.join(over, ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < subsumed * F.col("a"))).drop("over")
+    free = two.join(over, ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < subsumed * F.col("a"))).drop("over")
+    kept = free.unionByName(cuts)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # First within parts of a language, so that no task ranks all of one.
     some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
