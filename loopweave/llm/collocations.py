@@ -31,8 +31,8 @@ TABLE = bytes(10 if b in PARTS else 32 if b in TAB else b + 32 if 65 <= b <= 90
 CHUNK = 1 << 22
 #: Rows of a sketch; occurrences that a cell may get on average; the fewest and the most cells of a row, as powers of two.
 DEPTH, LOAD, LEAST_BITS, MOST_BITS = 2, 12, 16, 26
-#: Cells that travel together, as a power of two.
-BLOCK_BITS = 16
+#: Cells that travel together, as a power of two, and how hard they are compressed.
+BLOCK_BITS, LEVEL = 16, 9
 #: Words of the longest phrase: ids of so many words share a 64-bit number.
 LONGEST = 3
 #: Odd multipliers of the hash, and what tells the sketch's rows apart.
@@ -143,7 +143,7 @@ def frequent_cells(docs: DataFrame, length: int, least: int, bits: int, held: Bi
     known = docs.sparkSession.sparkContext.broadcast(held)
 
     def count(batches):
-        codec, sketch = pa.Codec("zstd"), np.zeros((DEPTH, 1 << bits), kind)
+        codec, sketch = pa.Codec("zstd", compression_level=LEVEL), np.zeros((DEPTH, 1 << bits), kind)
         for batch in batches:
             for chunk in chunks(batch.column(0), batch.column(1).cast(pa.binary())):
                 hashes = chunk.hashes()
