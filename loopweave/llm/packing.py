@@ -32,8 +32,8 @@ from loopweave.llm.words import word_blocks
 LENGTH, END_ID = 4096, 1
 #: Bins that may be open, and pieces that a group is to have.
 OPEN, GROUP = 256, 1 << 14
-#: Words and stems whose ids a generation remembers, and how long they may be.
-WORDS, WORD_BYTES = 800_000, 48
+#: Stems whose ids are remembered, and how long they may be.
+WORDS, WORD_BYTES = 600_000, 48
 #: Marks that may be taken off a word's end; apostrophes aren't, as the tokenizer joins them to letters.
 MARKS = b".,;:!?*$%&#|)]}>"
 #: Documents that are tokenized together, and bytes from which one is tokenized alone, block by block.
@@ -59,8 +59,6 @@ class WordTokenizer:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {b"": b""}
-        #: What was known before ``known`` was begun anew; words that are used again move over.
-        self.before: dict[bytes, bytes] = {}
         self.long: list[bytes] = []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -74,7 +72,7 @@ class WordTokenizer:
         # The tokenizer folds case itself, letter by letter, which str.lower doesn't.
         texts = {x: x.decode("utf-8", "replace") for x in parts}
         # A run of letters is one unit, so the ids of many of them can be told apart when they are made at once.
-        runs = [x for x, text in texts.items() if text.isalpha() and (text.isascii() or "".join(map(str.lower, text)).isalpha())]
+        runs = [x for x, text in texts.items() if text.isalpha() and "".join(c.lower() for c in text).isalpha()]
         for low in range(0, len(runs), 4096):
             some = runs[low : low + 4096]
             data = self._encode([" ".join(texts[x] for x in some)])[0]
@@ -84,22 +82,16 @@ class WordTokenizer:
         rest = [x for x in parts if x not in self.known]
         self.known.update(zip(rest, self._encode([texts[x] for x in rest]), strict=True))
 
-    def _again(self, words: set[bytes]) -> set[bytes]:
-        """Take the words that the generation before knows over into this one; the rest is returned."""
-        held = words.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in held)
-        return words.difference(held)
-
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table that has the ids of all these words, as little-endian 32-bit numbers; it holds until the next call."""
-        for x in self.long:
-            self.known.pop(x, None)
-        if len(self.known) > WORDS:
-            self.before, self.known = self.known, {b"": b""}
         known = self.known
-        lacking = self._again(words.difference(known))
+        if len(known) > WORDS:
+            known.clear()
+            known[b""] = b""
+        for x in self.long:
+            known.pop(x, None)
         parts = {}
-        for w in lacking:
+        for w in words.difference(known):
             low = w.lower()
             stem = low.rstrip(MARKS)
             if self._is_special(low):
@@ -108,7 +100,7 @@ class WordTokenizer:
                 parts[w] = (stem, low[len(stem) :])
             else:
                 parts[w] = (low, b"")
-        new = self._again({x for pair in parts.values() for x in pair}.difference(known))
+        new = {x for pair in parts.values() for x in pair}.difference(known)
         if new:
             self._learn(new)
         for w, (stem, marks) in parts.items():
