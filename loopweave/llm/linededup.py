@@ -33,22 +33,26 @@ LETTERS = "eaintorshludcm "
 SEGMENTS = 12
 #: Parts by whose multiples lines' common beginnings and ends are measured.
 SLICES = 48
-#: A document's number and a line's place in it make one number: doc * PLACES + place.
-PLACES = 1 << 32
-#: The number that documents without an id have in it: beyond all others.
-NO_ID = 1 << 63
+#: A row's number, a line's place in it and bits of the text's hash make one number: (row * PLACES + place) * TIES + bits.
+PLACES, TIES = 1 << 31, 1 << 30
+#: The number of a row without an id is its text's hash and this: beyond all ids.
+NO_ID = 1 << 64
 
 
 def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``(doc, text_hash, place, pos, line, n)`` for each line that may be removed, ``n`` being its length.
 
-    ``text_hash`` tells rows with the same ``doc_id`` apart.  By ``place``
-    documents without an id come after all others.
+    ``text_hash`` tells rows with the same ``doc_id`` apart.  By ``place`` rows
+    without an id come after all others, in the order of their texts' hashes;
+    lines at one place of rows that share an id come in the order of theirs.
     """
-    base = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.expr(f"cast({NO_ID}BD AS decimal(20,0))")) * F.lit(PLACES).cast("decimal(10,0)")
-    rows = docs.select(*_row_of(docs), base.cast("decimal(31,0)").alias("base"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    texts = F.xxhash64("text").cast("decimal(21,0)")
+    row = F.coalesce(F.col("doc_id").cast("decimal(21,0)"), texts + F.expr(f"cast({NO_ID}BD AS decimal(21,0))")).cast("decimal(21,0)")
+    base = row * F.lit(PLACES * TIES).cast("decimal(19,0)") + F.pmod(F.xxhash64("text"), F.lit(TIES)).cast("decimal(19,0)")
+    rows = docs.select(*_row_of(docs), base.cast("decimal(38,0)").alias("base"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    return rows.select("doc", "text_hash", (F.col("base") + F.col("pos")).alias("place"), "pos", "line", "n")
+    place = F.col("base") + (F.col("pos").cast("long") * TIES).cast("decimal(19,0)")
+    return rows.select("doc", "text_hash", place.cast("decimal(38,0)").alias("place"), "pos", "line", "n")
 
 
 def _row_of(docs: DataFrame) -> list[Column]:
@@ -294,7 +298,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
         left = rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("line", "own", "place", "n", "counts")))
         right = rows.join(stats, "key").where(whole | F.col("line").isin(F.col("any.line"), F.col("posted.line"))).select("key", "line", "own", "place", "n", "counts")
         limit = F.least(F.lit(edits), F.floor(F.least("n", "l_n") / CHARS_PER_EDIT)).cast("int")
-        fit = (F.col("own") | F.col("l_own")) & (F.col("l_place") > F.col("place")) & (F.abs(F.col("n") - F.col("l_n")) <= limit)
+        after = (F.col("l_place") > F.col("place")) | ((F.col("l_place") == F.col("place")) & (F.col("l_line") > F.col("line")))
+        fit = (F.col("own") | F.col("l_own")) & after & (F.abs(F.col("n") - F.col("l_n")) <= limit)
         met = left.join(right, (left["key"] == right["key"]) & fit & (_apart(F.col("counts"), F.col("l_counts")) <= 2 * limit))
         found = _verified(met.select(F.col("l_line").alias("line"), F.col("line").alias("of"), limit.alias("limit")), texts, edits)
         settled = found if settled is None else settled.unionByName(found)
@@ -335,8 +340,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     threshold of it, stands earlier: in a document with a smaller ``doc_id``, or
     higher up in this one.  Shorter lines stay.  All rows stay, with an empty
     text if all lines go; a null text stays null.  Rows without an id come last,
-    and rows repeated with their id and text are treated alike.  Other columns
-    are kept as they are, whatever their names.  ``doc_id`` must hold integers.
+    in the order of their texts' hashes.  Of lines at one place of rows that share
+    an id but not the text, that of the smaller hash stands first; rows repeated
+    with their id and text are treated alike.  Other columns are kept as they
+    are, whatever their names.  ``doc_id`` must hold integers.
     """
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("doc_id must hold integers")
