@@ -179,40 +179,90 @@ def cube_sample(units: DataFrame, stratum: str, size: Column, by: list[str], see
         rows, round_ = flown.where("chosen is null").select("_stratum", "_size", "p", *names), round_ + 1
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls included; nested columns count as JSON, as maps have no hash."""
+    parts = []
+    for c in docs.columns:
+        kind, value = docs.schema[c].dataType.simpleString(), F.col("`" + c.replace("`", "``") + "`")
+        parts += [F.to_json(F.struct(value.alias("x"))) if "<" in kind or kind == "variant" else value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
+#: What tells units apart.
+KEYS = ["doc_id", "source", "size", "row_hash"]
 
-    ``copies`` says how often the mix takes the document, ``taken`` how many
-    words that makes.  Rows that agree in ``doc_id``, ``source`` and size are
-    taken alike.  A null text has size 0, null is a source of its own, and
-    sources without words have target 0 and give nothing.  Other columns are
-    ignored.
+
+def _units(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """KEYS, ``source_size``, ``target``, ``n``, ``whole`` and ``more`` of each group of rows that agree in KEYS.
+
+    All ``n`` rows are taken ``whole`` times, and ``more`` of them once more.
+    So many of a group's rows as its probabilities make up are certain to be
+    among those; only the fraction that is left takes part in the sampling, as
+    one row.  A group of any size thus moves the words by one row's at most.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
-    keys = ["doc_id", "source", "size"]
+    doc, source, size = F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string"))
+    sized = materialize(docs.select(doc.alias("doc_id"), source.alias("source"), size.alias("size"), _row_hash(docs).alias("row_hash")), "sizes")
     sources = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     of = sources.withColumnRenamed("source", "s")
-    units = sized.groupBy(*keys).agg(F.count("*").alias("n"))
+    units = sized.groupBy(*KEYS).agg(F.count("*").alias("n"))
     units = units.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     # A share so near a whole number that it only is not one by rounding counts as whole.
     whole = F.floor(ratio + EPS).cast("long")
-    units = materialize(units.withColumns({"whole": whole, "p": F.greatest(F.lit(0.0), ratio - whole)}), "units")
-    sampled = cube_sample(units, "source", F.col("size") * F.col("n"), keys, seed)
-    copies = F.col("whole") + F.col("chosen")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")
-    return sampled.select(*keys, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), again).drop("nth")
+    due = F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")) * F.col("n")
+    sure = F.floor(due + EPS).cast("long")
+    units = units.withColumns({"ratio": ratio, "whole": whole}).withColumn("due", due)
+    units = materialize(units.withColumns({"sure": sure, "p": F.greatest(F.lit(0.0), F.col("due") - sure)}).drop("ratio", "due"), "units")
+    sampled = cube_sample(units, "source", F.col("size"), KEYS, seed)
+    return sampled.withColumn("more", F.least("n", F.col("sure") + F.col("chosen"))).drop("sure", "chosen")
+
+
+#: Rows that one row is repeated into at once; larger groups are dealt out in spans of so many.
+SPAN = 4096
+
+
+def _repeated(rows: DataFrame, times: Column) -> DataFrame:
+    """``rows`` with ``nth`` from 1 to ``times``, each of them as often."""
+    rows = rows.withColumn("_times", times.cast("long"))
+    few = rows.where((F.col("_times") > 0) & (F.col("_times") <= SPAN)).withColumn("_from", F.lit(0).cast("long"))
+    spans = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(SPAN).cast("long")))
+    many = rows.where(F.col("_times") > SPAN).withColumn("_from", spans).repartition("_from")
+    each = F.explode(F.sequence(F.col("_from") + 1, F.least("_times", F.col("_from") + SPAN)))
+    return few.unionByName(many).withColumn("nth", each).drop("_times", "_from")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
+
+    ``copies`` says how often the mix takes the row, ``taken`` how many words
+    that makes.  Of rows alike in all columns as many get one copy more as their
+    share makes up, so repeated rows and rows without an id don't take a source
+    off its target.  A null text has size 0, null is a source of its own, and
+    sources without words have target 0 and give nothing.
+    """
+    rows = _repeated(_units(docs, weights, share, cap, seed), F.col("n"))
+    copies = F.col("whole") + (F.col("nth") <= F.col("more")).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken, and with all its columns.
 
-    See :func:`mix`: a document without words is never taken, and neither is one
-    of a source without words.  ``doc_id`` must hold integers or null.
+    See :func:`mix`: rows without words are taken like others of their source,
+    rows of a source without words never.  ``doc_id`` must hold integers or null.
     """
-    decided = mix(docs.select("doc_id", "source", "text"), weights, share, cap, seed).where("copies > 0").select("doc_id", "source", "size", "copies").distinct()
+    units = _units(docs, weights, share, cap, seed).where("whole + more > 0").select(*KEYS, "n", "whole", "more")
     # The row is kept in one column, so that its names can't clash with others.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), word_count(F.col("text").cast("string")).alias("words"))
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    taken = rows.join(decided, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), _row_hash(docs).alias("hash"), word_count(F.col("text").cast("string")).alias("words"))
+    same = (F.col("hash") == F.col("row_hash")) & (F.col("words") == F.col("size"))
+    same &= F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source"))
+    alike = "more = 0 or more = n"
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + (F.col("more") > 0).cast("long")))
+    taken = rows.join(units.where(f"({alike})"), same).select("row", times.alias("nth"))
+    # Where only some rows of a unit are taken once more, one stands for all, as they are alike in all columns.
+    parted = materialize(units.where(f"not ({alike})"), "parted-units")
+    if not parted.isEmpty():
+        one = rows.join(parted, same).groupBy(*KEYS).agg(F.first("row").alias("row"), F.first(F.col("whole") * F.col("n") + F.col("more")).alias("times"))
+        taken = taken.unionByName(_repeated(materialize(one.select("row", "times"), "parted-rows"), F.col("times")).select("row", "nth"))
     return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

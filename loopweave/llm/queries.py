@@ -30,7 +30,7 @@ def op3_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_read(spark, sf_dir, "documents"))
+    found = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -110,6 +110,19 @@ def test_every_name_and_id_of_documents(spark):
         linededup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    near = ["the passage that both rows begin with, one", "the passage that both rows begin with, two", "the passage that both rows begin with, one!"]
+    rows = [(d, line + f"\nand {d} {k} has a tail of its very own here {'xyz'[k] * 9}") for d in (None, 4) for k, line in enumerate((near[0], near[2], near[0]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [linededup.dedup_lines(df.repartition(p)).collect() for p in (1, 5)]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    # One row of those that share the id keeps its first line; those without one come after it.
+    first = [r["doc_id"] for r in kept[0] if r["text"].startswith("the passage")]
+    assert first == [4]
+    alone = linededup.dedup_lines(df.where("doc_id is null")).collect()
+    assert sum(r["text"].startswith("the passage") for r in alone) == 1
+
+
 def test_line_report(spark):
     line = "a passage that stands in both documents"
     df = spark.createDataFrame([(1, f"{line}\nshort"), (2, line), (3, None)], "doc_id long, text string")
@@ -175,6 +188,30 @@ def test_mixed_rows(spark):
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_repeated_rows_meet_the_target(spark, doc_id):
+    rows = [(doc_id, "three words here", "a")] * 2000 + [(i, "two words", "b") for i in range(1000)] + [(i, f"row {i} repeats", "c") for i in range(300)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.sum("copies").alias("copies")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"a": 2000, "b": 1000, "c": 900}
+    assert all(abs(r["taken"] - r["target"]) <= 6 for r in got)
+    out = mixing.mixed(df)
+    assert {r["source"]: r["count"] for r in out.groupBy("source").count().collect()} == {r["source"]: r["copies"] for r in got}
+
+
+def test_large_units_are_dealt_out_in_spans(spark):
+    df = spark.createDataFrame([("a", 9000), ("b", 0), ("c", mixing.SPAN)], "k string, n long")
+    got = mixing._repeated(df, F.col("n")).groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("nth").alias("d"), F.max("nth").alias("m")).collect()
+    assert {r["k"]: (r["n"], r["d"], r["m"]) for r in got} == {"a": (9000,) * 3, "c": (mixing.SPAN,) * 3}
+
+
+def test_rows_that_differ_in_nulls_or_maps_are_told_apart(spark):
+    rows = [(None, "w", "s", 1, None, {"a": 1}), (None, "w", "s", None, 1, {"a": 1}), (None, "w", "s", 1, None, {"a": 2})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, x long, y long, m map<string,int>")
+    assert df.select(mixing._row_hash(df).alias("h")).distinct().count() == 3
+    assert mixing.mixed(df).columns == df.columns
+
+
 def test_mixed_keeps_columns_of_any_name(spark):
     df = documents(spark, 200).withColumns({c: F.lit(c) for c in ("_doc_id", "size", "copies", "words", "row", "_nth")})
     got = mixing.mixed(df)
