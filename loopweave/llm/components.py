@@ -14,8 +14,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ``component`` is the smallest node that can be reached.  Large-star and
     small-star rounds alternate (Kiveris et al., 2014) until the links are a
     forest of stars; a round only joins and groups, and its links go to the
-    shared folder, so neither a hub nor a long chain meets in one task.  Links
-    with a null end, or from a node to itself, join nothing.
+    shared folder, so neither a hub nor a long chain meets in one task.  Joins
+    are merged, so that no round builds a table in the driver.  Links with a null
+    end, or from a node to itself, join nothing.
     """
     edges = materialize(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
@@ -25,9 +26,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

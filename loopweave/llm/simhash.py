@@ -117,29 +117,31 @@ def link_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     gives links in proportion to the postings and joins up dense families.
     Then all pairs of a posting that still are in different components are
     compared, which finds the rest: no link is missed, and a family of n
-    fingerprints doesn't emit its n * n links.
+    fingerprints doesn't emit its n * n links.  Joins are merged, as here and in
+    connected components any side may grow with the table, and what is broadcast
+    is built in the driver.
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("the index guarantees links of at most four bits")
     prints = prints.select("fp").distinct()
     posted = _postings(prints)
     hubs = posted.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = posted.join(hubs, "key").where("fp <> hub").where(_verified(F.col("fp"), F.col("hub"), max_bits))
+    near = posted.join(hubs.hint("merge"), "key").where("fp <> hub").where(_verified(F.col("fp"), F.col("hub"), max_bits))
     first = connected_components(near.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     known = materialize(
-        prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")),
+        prints.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")),
         "roots",
     )
     left, right = _postings(known).alias("l"), _postings(known).alias("r")
     rest = left.join(
-        right,
+        right.hint("merge"),
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.fp") < F.col("r.fp"))
         & (F.col("l.root") != F.col("r.root"))
         & _is_link(F.col("l.fp"), F.col("r.fp"), F.col("l.key"), max_bits),
     ).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
     second = connected_components(rest)
-    return known.join(second.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
+    return known.join(second.withColumnRenamed("node", "root").hint("merge"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -152,10 +154,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
-    roots = groups.join(link_components(groups, max_bits), "fp")
+    roots = groups.join(link_components(groups, max_bits).hint("merge"), "fp")
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(roots.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(roots.join(least.hint("merge"), "root").select("fp", "component_id"), "components")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -106,3 +106,11 @@ def test_components(spark, links):
         assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     else:
         assert set(got.values()) == {0}
+
+
+def test_no_join_is_built_in_the_driver(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(texts(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (simhash.near_duplicates(docs), simhash.link_components(simhash.fingerprints(docs)), connected_components(spark.createDataFrame([(1, 2)], "a long, b long"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
