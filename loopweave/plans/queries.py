@@ -221,7 +221,9 @@ def L3_jensen_shannon(spark, sf_dir):
     r AS (SELECT a, b, round(1 - dot / (ng.norm * np.norm), 12) AS dist FROM d JOIN ng ON ng.name = a JOIN np ON np.name = b)
     SELECT a AS query, b AS hit, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM r) WHERE k = 1""")
 def J14_nearest_reference(spark, sf_dir):
-    return rounded(kmers.nearest_reference(A.genomes(spark, sf_dir), A.panel(spark, sf_dir), 4))
+    found = kmers.nearest_reference(A.genomes(spark, sf_dir), A.panel(spark, sf_dir), 4)
+    # Scaled before it is rounded, as the SQL does, for what lies half-way.
+    return found.select("query", "hit", (F.round(F.col("dist") * 1e6) / 1e6 + 0.0).alias("dist"))
 
 
 _RUNS = """r0 AS (SELECT *, CASE WHEN lag(label) OVER w <> label THEN 1 ELSE 0 END AS ch, CAST(row_number() OVER w - 1 AS INTEGER) AS idx FROM t WINDOW w AS (PARTITION BY name ORDER BY start)),
