@@ -20,8 +20,8 @@ from loopweave.sources.places import written
 
 #: Distinct values of a two-sample test that a task draws for at a time, and replicates.
 BLOCK, REPLICATES = 1 << 15, 50
-#: Places that a task draws at a time.
-DRAWS = 1 << 21
+#: Replicates of a name that a task draws at a time.
+DRAWS = 1 << 16
 
 
 def replicates(spark: SparkSession, n: int, draw: Callable[[np.random.Generator], float], seed: int) -> DataFrame:
@@ -146,48 +146,58 @@ def two_sample(df: DataFrame, flag: str, value: str, permutations: int, median:
     return _summary(spark.createDataFrame(diffs[diffs["rep"] >= 0].sort_values("rep")), observed, True, 0.0)
 
 
+def _within(ends: np.ndarray, size: int, limits: np.ndarray) -> np.ndarray:
+    """How many of the places around a circle are at most so far from the nearest end, for each of the limits."""
+    b = np.unique(np.asarray(ends) % size)
+    gaps = np.diff(np.append(b, b[0] + size)) - 1
+    return np.array([len(b) + np.minimum(gaps, 2 * t).sum() for t in limits.tolist()], np.int64)
+
+
 def boundary_enrichment(points: DataFrame, orfs: DataFrame, lengths: DataFrame, near: list[int], permutations: int, matched: bool = True, seed: int = 0) -> DataFrame:
     """``(threshold, observed, p, z, null_mean, null_sd, permutations)``: are points nearer to ORF ends than random ones?
 
     Each replicate draws, for each name, as many places as it has points.  Names
     without ORFs are left out of both sides, or, unless ``matched``, stay in the
-    replicates' denominator.  Names are dealt out, those with many points in
-    spans of replicates that draw no more than DRAWS places each; a replicate's
-    near points are summed over them.  A name's replicate has a random stream of
-    its own, so results don't depend on the spans.
+    replicates' denominator.  As only the number of near places counts, that is
+    what is drawn: how many of a name's places fall within each distance is
+    multinomial, with the shares of the circle that lie so near.  A name has a
+    random stream of its own, so results don't depend on how names are dealt; a
+    task draws DRAWS replicates of a name at a time and sends on its sums alone.
     """
     ends = orfs.select("name", F.explode(F.array("start0", "end0")).alias("b")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("b")).alias("ends"))
     counts = points.groupBy("name").agg(F.array_sort(F.collect_list("pos0")).alias("pos"), F.count("*").alias("k"))
     rows = counts.join(lengths.select("name", "genome_len"), "name").join(ends, "name", "left" if not matched else "inner")
-    limits = np.array(sorted(near))
-    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.col("k"))).cast("int")
-    span = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1), step), lambda s: span(s, F.least(s + step, F.lit(permutations)))) if permutations else F.array()
-    dealt = rows.select("*", F.explode(F.concat(F.array(span(F.lit(-1), F.lit(0))), drawn)).alias("span"))
-    # Only what was observed needs the points themselves.
-    dealt = dealt.select("name", F.when(F.col("span.first") < 0, F.col("pos")).alias("pos"), "k", "genome_len", "ends", "span.first", "span.last").repartition("name", "first")
+    limits = np.array(sorted(set(near)))
 
     def run(batches):
+        seen, null = np.zeros(len(limits), np.int64), np.zeros((permutations, len(limits)), np.int64)
+        n, more = 0, 0
         for pdf in batches:
-            for name, pos, k, size, ends, first, last in pdf.itertuples(index=False):
-                reps = np.arange(first, last)
+            for name, pos, k, size, ends in pdf.itertuples(index=False):
                 if ends is None or not len(ends):
-                    yield pd.DataFrame({"rep": reps, "threshold": -1, "hits": 0, "n": 0 if first < 0 else k})
+                    more += k
                     continue
+                n += k
+                b, places = np.asarray(ends), np.asarray(pos)
+                at = np.searchsorted(b, places)
+                dist = np.minimum.reduce([np.minimum(np.abs(places - s), size - np.abs(places - s)) for s in (b[(at - 1) % len(b)], b[at % len(b)])])
+                seen += (dist[:, None] <= limits[None, :]).sum(axis=0)
+                share = np.diff(np.concatenate([[0], _within(b, size, limits), [size]])) / size
                 # The whole name, so that no two names draw alike.
-                own = [seed, *hashlib.sha256(str(name).encode()).digest()[:16]]
-                draws = np.asarray(pos)[None, :] if first < 0 else np.vstack([np.random.default_rng([*own, r]).integers(0, size, k) for r in reps.tolist()])
-                b = np.asarray(ends)
-                at = np.searchsorted(b, draws)
-                left, right = b[(at - 1) % len(b)], b[at % len(b)]
-                dist = np.minimum.reduce([np.minimum(np.abs(draws - s), size - np.abs(draws - s)) for s in (left, right)])
-                for t in limits:
-                    yield pd.DataFrame({"rep": reps, "threshold": int(t), "hits": (dist <= t).sum(axis=1), "n": k})
-
+                own = np.random.default_rng([seed, *hashlib.sha256(str(name).encode()).digest()[:16]])
+                for low in range(0, permutations, DRAWS):
+                    part = null[low : low + DRAWS]
+                    part += np.cumsum(own.multinomial(k, share, len(part))[:, :-1], axis=1)
+        reps = np.repeat(np.arange(-1, permutations), len(limits))
+        hits = np.concatenate([seen, null.ravel()])
+        yield pd.DataFrame({"rep": reps, "threshold": np.tile(limits, permutations + 1), "hits": hits, "n": np.where(reps < 0, n, n + more)})
+
+    # Little to read but much to draw, so the number of tasks is given.
+    dealt = rows.select("name", "pos", "k", "genome_len", "ends").repartition(4 * points.sparkSession.sparkContext.defaultParallelism, "name")
     each = dealt.mapInPandas(run, "rep int, threshold int, hits long, n long")
     sums = each.groupBy("rep", "threshold").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-    extra = sums.where("threshold = -1").select("rep", F.col("n").alias("more"))
-    full = sums.where("threshold >= 0").join(extra, "rep", "left").select("rep", "threshold", (F.col("hits") / F.nullif(F.col("n") + F.coalesce("more", F.lit(0)), F.lit(0))).alias("frac"))
+    full = sums.select("rep", "threshold", (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("frac"))
+    full = full.where("frac is not null or rep >= 0")
     seen = full.where("rep = -1").select("threshold", F.col("frac").alias("observed"))
     null = full.where("rep >= 0").join(seen, "threshold")
     done = null.groupBy("threshold", "observed").agg(F.count("*").alias("permutations"), F.sum((F.col("frac") >= F.col("observed")).cast("long")).alias("k"), F.avg("frac").alias("null_mean"), F.stddev_samp("frac").alias("null_sd"))

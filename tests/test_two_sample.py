@@ -73,3 +73,15 @@ def test_entropy_of_windows_from_cumulated_counts(spark):
             want[name, start] = -sum(p * np.log2(p) for p in share) if share else None
     assert got.keys() == want.keys()
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
+
+
+def test_shares_of_the_circle_and_rows_of_many_names(spark):
+    for ends, size in (([0], 9), ([3, 4, 20], 31), ([7, 37], 30), ([0, 15], 30)):
+        near = np.array([min(min(abs(p - e % size), size - abs(p - e % size)) for e in ends) for p in range(size)])
+        assert randomised._within(np.array(ends), size, np.array([0, 2, 50])).tolist() == [(near <= t).sum() for t in (0, 2, 50)]
+    names = spark.range(300).select(F.concat(F.lit("n"), "id").alias("name"))
+    points = names.select("name", F.explode(F.sequence(F.lit(0), F.lit(190), F.lit(10))).alias("pos0"))
+    out = randomised.boundary_enrichment(points, names.select("name", F.lit(5).alias("start0"), F.lit(90).alias("end0")), names.select("name", F.lit(200).alias("genome_len")), [4, 20], 500)
+    got = {r["threshold"]: r for r in out.collect()}
+    for t, share in ((4, 18 / 200), (20, 82 / 200)):
+        assert got[t]["null_mean"] == pytest.approx(share, abs=4 * np.sqrt(share / 6000 / 500)) and got[t]["null_sd"] == pytest.approx(np.sqrt(share * (1 - share) / 6000), rel=0.15)
