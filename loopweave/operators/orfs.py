@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -12,6 +14,57 @@ from loopweave.functions.headers import strand_sign
 from loopweave.functions.sequences import STOPS, at, reverse_complement, translate_dna
 
 
+#: Letters of sequences that are searched at a time.
+LETTERS = 1 << 20
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+_COMPLEMENT[np.frombuffer(b"ACGTacgt", np.uint8)] = np.frombuffer(b"TGCAtgca", np.uint8)
+
+
+def _frames(names: pa.Array, texts: list[tuple[int, bytes]], starts: Sequence[str], circular: bool, nested: bool):
+    """Start codons of both strands of some sequences, each with the first stop behind it in its frame."""
+    parts, rows, sizes = [], [], []
+    for row, text in texts:
+        letters = np.frombuffer(text, np.uint8)
+        if len(letters) * (2 if circular else 1) >= 6:
+            for strand in (letters, _COMPLEMENT[letters[::-1]]):
+                parts += [strand, strand] if circular else [strand]
+            rows.append(row)
+            sizes.append(len(letters))
+    if not rows:
+        return
+    scan = np.concatenate(parts).astype(np.int32)
+    value = scan[:-2] << 16 | scan[1:-1] << 8 | scan[2:]
+    code = lambda codons: [int.from_bytes(c.encode(), "big") for c in codons]
+    is_one = lambda v, codons: np.logical_or.reduce([v == c for c in code(codons)])
+    at_ = np.flatnonzero(is_one(value, {*starts, *STOPS}))
+    n = np.repeat(np.array(sizes, np.int64), 2)
+    length = n * 2 if circular else n
+    first = np.cumsum(length) - length
+    seg = np.searchsorted(first, at_, "right") - 1
+    i = at_ - first[seg]
+    inside = i <= length[seg] - 3
+    at_, seg, i = at_[inside], seg[inside], i[inside]
+    frame = seg * 3 + i % 3
+    order = np.argsort(frame, kind="stable")
+    at_, seg, i, frame = at_[order], seg[order], i[order], frame[order]
+    stops = np.flatnonzero(is_one(value[at_], STOPS))
+    begins = np.flatnonzero(is_one(value[at_], starts))
+    place = np.searchsorted(stops, begins, "right")
+    begins, place = begins[place < len(stops)], place[place < len(stops)]
+    ends = stops[place]
+    fits = (frame[begins] == frame[ends]) & (i[begins] + 3 <= n[seg[begins]]) & (i[ends] - i[begins] <= n[seg[begins]])
+    begins, ends = begins[fits], ends[fits]
+    if not nested:  # the first of those that share a stop
+        lead = np.diff(ends, prepend=-1) != 0
+        begins, ends = begins[lead], ends[lead]
+    text = lambda k: pa.array([int(v).to_bytes(3, "big").decode("latin-1") for v in value[at_[k]]], pa.string())
+    cells = [
+        names.take(pa.array(np.array(rows)[seg[begins] // 2])), pa.array(np.where(seg[begins] % 2 == 0, "+", "-"), pa.string()), pa.array(n[seg[begins]], pa.int32()),
+        pa.array(i[begins], pa.int32()), text(begins), pa.array(i[ends], pa.int32()), text(ends),
+    ]
+    yield pa.RecordBatch.from_arrays(cells, ["name", "strand", "n", "i", "codon", "stop_i", "stop_codon"])
+
+
 def predict_orfs(seqs: DataFrame, least_aa: int, starts: Sequence[str] = ("ATG",), circular: bool = True, nested: bool = False) -> DataFrame:
     """``(name, strand, frame, start0, end0, span_start0, span_end0, wrap, wrap_compat, nt_len, aa_len, start_codon, stop_codon, scan_start)``.
 
@@ -21,27 +74,25 @@ def predict_orfs(seqs: DataFrame, least_aa: int, starts: Sequence[str] = ("ATG",
     the start codons that share a stop counts.  ``wrap`` says whether it goes
     over the origin, ``wrap_compat`` is the flag as other tables have it, which
     holds for nearly all of the minus strand.  ``scan_start`` counts along the
-    strand that is read.
+    strand that is read.  Sequences are searched where they lie, without a
+    shuffle; rows that share a name are searched each.
     """
-    both = seqs.where(F.length("seq") > 0).select(
-        "name",
-        F.length("seq").alias("n"),
-        F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("x"),
-    )
-    rows = both.select("name", "n", "x.strand", (F.concat("x.s", "x.s") if circular else F.col("x.s")).cast("binary").alias("scan"))
-    rows = rows.where(F.length("scan") >= 6)
-    each = rows.select("name", "n", "strand", "scan", F.explode(F.sequence(F.lit(0), F.length("scan") - 3)).alias("i"))
-    each = each.select("name", "n", "strand", "i", F.substring("scan", F.col("i") + 1, F.lit(3)).cast("string").alias("codon")).where(F.col("codon").isin(*starts, *STOPS))
-    stop = F.col("codon").isin(*STOPS)
-    # Read from behind, so that the frame grows and each row is looked at once.
-    behind = W.Window.partitionBy("name", "strand", F.col("i") % 3).orderBy(F.desc("i")).rowsBetween(W.Window.unboundedPreceding, -1)
-    next_stop = F.min(F.when(stop, F.struct("i", "codon"))).over(behind)
-    found = each.withColumn("stop", next_stop).where(F.col("codon").isin(*starts) & (F.col("i") + 3 <= F.col("n")) & (F.col("stop.i") - F.col("i") <= F.col("n")))
-    if not nested:
-        keys = ["name", "strand", F.col("stop.i").alias("stop_i")]
-        found = found.groupBy(*keys).agg(F.first("n").alias("n"), F.min(F.struct("i", "codon")).alias("first"), F.first("stop").alias("stop")).select(
-            "name", "n", "strand", F.col("first.i").alias("i"), F.col("first.codon").alias("codon"), "stop"
-        )
+    kind = seqs.schema["name"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = [(row, x.as_py().encode("latin-1", "replace")) for row, x in enumerate(batch.column(1)) if x.is_valid]
+            held, size = [], 0
+            for row, text in texts:
+                held.append((row, text))
+                size += len(text)
+                if size >= LETTERS:
+                    yield from _frames(batch.column(0), held, starts, circular, nested)
+                    held, size = [], 0
+            yield from _frames(batch.column(0), held, starts, circular, nested)
+
+    found = seqs.select("name", F.col("seq").cast("string")).mapInArrow(run, f"name {kind}, strand string, n int, i int, codon string, stop_i int, stop_codon string")
+    found = found.withColumn("stop", F.struct(F.col("stop_i").alias("i"), F.col("stop_codon").alias("codon")))
     n, begin, end = F.col("n"), F.col("i"), F.col("stop.i") + 3
     plus = F.col("strand") == "+"
     start0 = F.when(plus, begin % n).otherwise((n - end % n) % n)

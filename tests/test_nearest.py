@@ -24,3 +24,13 @@ def test_nearest_reference_is_exact(spark):
     got = {r["query"]: (r["hit"], r["dist"]) for r in kmers.nearest_reference(frame(rows), frame(panel)).collect()}
     assert got.keys() == want.keys() and all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 2e-12 for q in want)
     assert kmers._rounded(np.array([0.5, -1.5, 2.4, 0.0]), 0).tolist() == [1.0, -2.0, 2.0, 0.0]
+
+
+def test_frames_of_either_strand_are_found_without_a_shuffle(spark):
+    from loopweave.operators import orfs
+
+    rows = [("a", "ATGAAACCCTAA"), ("b", "TTACCCGGGCAT"), ("c", ""), ("d", None), (None, "CCATGTAGCC"), ("a", "GGGG"), ("e", "AAATAGGGATG")]
+    found = orfs.predict_orfs(spark.createDataFrame(rows, "name string, seq string"), 1)
+    got = {(r["name"], r["strand"], r["start0"], r["end0"], r["aa_len"], r["wrap"], r["stop_codon"]) for r in found.collect()}
+    assert {("a", "+", 0, 0, 3, False, "TAA"), ("b", "-", 0, 0, 3, False, "TAA"), ("e", "+", 8, 6, 2, True, "TAG")} <= got
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
