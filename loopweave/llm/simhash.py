@@ -160,16 +160,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, print_words: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
-    Fingerprints that differ in four bits miss most pairs at a Jaccard
-    similarity of 0.8, so groups are those of the shingles themselves.  Rows
-    without a ``doc_id`` stay, as nothing tells them apart, and link no others.
-    Of rows that share an id but not the text each is judged by its own text;
-    rows that repeat the kept one's id and text stay with it.
+    Candidates are what :func:`near_duplicates` links, by SimHashes of shingles
+    of ``print_words`` through the byte-position index; those count whose sets of
+    shingles of ``words`` have a Jaccard similarity of 0.8 or more.  As
+    fingerprints within four bits miss most such pairs, what is left apart is
+    then looked up by its sets, exactly.
+    Rows without a ``doc_id`` stay, as nothing tells them apart, and link no
+    others.  Of rows that share an id but not the text each is judged by its own
+    text; rows that repeat the kept one's id and text stay with it.
     """
-    found = first_copies(docs, words)
+
+    def linked(prints: DataFrame) -> DataFrame:
+        return link_components(prints.withColumnRenamed("own", "fp"), max_bits).withColumnRenamed("fp", "own")
+
+    found = first_copies(docs, words, lambda text: fingerprint(text, print_words), linked)
     gone = found.where((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first_hash")))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
     same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])

@@ -65,3 +65,21 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     assert (5, "like nothing else here at all") in got and (5, one) not in got
     assert kept in ([one, one], [near])  # one text of the group, with rows that repeat it
     assert [r for r in got if r[0] == 8] == [(8, "not null"), (8, None)] or len([r for r in got if r[0] == 8]) == 2
+
+
+def test_simhashes_come_first_and_are_checked(spark, monkeypatch):
+    words = [f"v{i}" for i in range(90)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (2, near), (3, "quite another text than these"), (4, "THIS is quite another text"), (5, None)]
+    seen, whole = [], simhash.link_components
+
+    def link(prints, max_bits=4):
+        seen.append(sorted(r["fp"] for r in prints.collect()))
+        # All are called alike, which the exact check must set right.
+        return whole(prints, max_bits).selectExpr("fp", "0L AS root") if len(seen) == 2 else whole(prints, max_bits)
+
+    monkeypatch.setattr(simhash, "link_components", link)
+    for _ in range(2):
+        got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4, 5]
+    assert seen == [sorted(simhash.fingerprint((t or "").encode(), 4) for _, t in rows)] * 2
