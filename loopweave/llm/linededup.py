@@ -27,6 +27,8 @@ LEAST_CHARS = 20
 EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines of a posting that are compared with each other at once; longer postings are cut further.
 FEW = 128
+#: Pairs of a posting that one task may compare where few are left.
+AT_ONCE = 1 << 22
 #: Letters whose counts are compared before lines are: common ones in many languages.
 LETTERS = "eaintorshludcm "
 #: Segments of a pair's longer line that are looked for in the other one before their distance is worked out.
@@ -275,7 +277,9 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
     each CHARS_PER_EDIT characters of the shorter one.  The members of a short
     posting are compared with each other, those of a longer one with its earliest
     line; that settles the lines of a large family with as many pairs as it has
-    lines.  Postings that still hold unsettled lines are then cut further.
+    lines.  Postings that still hold unsettled lines are then cut further, unless
+    these and the lines they stand with make no more pairs than short postings
+    may: then they are compared, as a round of cutting costs more than that.
     """
     ways = pieces(edits)
     each = [F.struct(F.col(f"k{k}").alias("key"), F.lit(k % len(ways)).alias("piece"), F.lit(k < len(ways)).alias("mine")) for k in range(2 * len(ways))]
@@ -289,24 +293,39 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, few: int
     mine = F.when(F.col("mine"), _class_of(F.col("n"))).otherwise(_lower_class(F.col("n"), edits))
     rows = posted.join(lines.select("line", "place", "n"), "line").join(texts.select("line", "counts"), "line").withColumns({"own": own, "c": mine})
     rows = materialize(rows, "placed")
+    most = few * rows.count()
     final, settled = F.lit(False), None
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in ("line", "own", "place", "n", "counts")))
+        right = right.select("key", "line", "own", "place", "n", "counts")
+        limit = F.least(F.lit(edits), F.floor(F.least("n", "l_n") / CHARS_PER_EDIT)).cast("int")
+        after = (F.col("l_place") > F.col("place")) | ((F.col("l_place") == F.col("place")) & (F.col("l_line") > F.col("line")))
+        fit = (F.col("own") | F.col("l_own")) & after & (F.abs(F.col("n") - F.col("l_n")) <= limit)
+        met = left.join(right, (left["key"] == right["key"]) & fit & (_apart(F.col("counts"), F.col("l_counts")) <= 2 * limit))
+        return _verified(met.select(F.col("l_line").alias("line"), F.col("line").alias("of"), limit.alias("limit")), texts, edits)
+
     while True:
         one = F.struct("place", "line")
         stats = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(one).alias("any"), F.min(F.when(F.col("own"), one)).alias("posted"), F.max(final).alias("final"))
         stats = materialize(stats, "posting-sizes")
         whole = F.col("final") | (F.col("size") <= few)
-        left = rows.select("key", *(F.col(c).alias(f"l_{c}") for c in ("line", "own", "place", "n", "counts")))
-        right = rows.join(stats, "key").where(whole | F.col("line").isin(F.col("any.line"), F.col("posted.line"))).select("key", "line", "own", "place", "n", "counts")
-        limit = F.least(F.lit(edits), F.floor(F.least("n", "l_n") / CHARS_PER_EDIT)).cast("int")
-        after = (F.col("l_place") > F.col("place")) | ((F.col("l_place") == F.col("place")) & (F.col("l_line") > F.col("line")))
-        fit = (F.col("own") | F.col("l_own")) & after & (F.abs(F.col("n") - F.col("l_n")) <= limit)
-        met = left.join(right, (left["key"] == right["key"]) & fit & (_apart(F.col("counts"), F.col("l_counts")) <= 2 * limit))
-        found = _verified(met.select(F.col("l_line").alias("line"), F.col("line").alias("of"), limit.alias("limit")), texts, edits)
+        found = compared(rows, rows.join(stats, "key").where(whole | F.col("line").isin(F.col("any.line"), F.col("posted.line"))))
         settled = found if settled is None else settled.unionByName(found)
         # Further only with postings that hold a line which is near none yet.
         left_over = rows.join(stats.where(~whole), "key").join(settled.distinct().withColumn("done", F.lit(True)), "line", "left")
-        open_ = left_over.where(F.col("done").isNull() & (F.col("line") != F.col("any.line"))).select("key").distinct()
-        deeper = left_over.join(open_, "key").select(rows.columns)
+        open_ = left_over.where(F.col("done").isNull() & (F.col("line") != F.col("any.line"))).groupBy("key").agg((F.count("*") * F.first("size")).alias("pairs"))
+        deeper = materialize(left_over.join(open_, "key").select(*rows.columns, "done", "size", "pairs"), "open-postings")
+        pairs = deeper.agg(F.sum(F.col("pairs") / F.col("size"))).first()[0]
+        if pairs is None:
+            return settled.distinct()
+        if pairs <= most:
+            few_pairs = F.col("pairs") <= AT_ONCE
+            settled = settled.unionByName(compared(deeper.where(few_pairs & F.col("done").isNull()), deeper.where(few_pairs)))
+            deeper = deeper.where(~few_pairs)
+            if deeper.isEmpty():
+                return settled.distinct()
+        deeper = deeper.select(rows.columns)
         deeper = _by_length(deeper, edits) if "rests" not in rows.columns else _by_rest(deeper, texts, edits)
         deeper = materialize(deeper, "cut-postings")
         rows = materialize(deeper.join(_shared(deeper), "key"), "cut-postings")

@@ -99,6 +99,22 @@ def test_long_postings_are_cut_further(spark):
     assert [got[i] for i in range(len(rows))] == [t if t is not None else "" for t in want]
 
 
+@pytest.mark.parametrize("at_once", [0, linededup.AT_ONCE])
+def test_few_pairs_that_are_left_are_compared_without_more_rounds(spark, monkeypatch, at_once):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    common = " ".join(word() for _ in range(3))
+    lines = [" ".join([common, *(word() for _ in range(6))]) for _ in range(30)]
+    lines += [changed(rng, rng.choice(lines), rng.randrange(1, 4)) for _ in range(20)]
+    rows = list(enumerate(lines))
+    cuts = []
+    monkeypatch.setattr(linededup, "AT_ONCE", at_once)
+    monkeypatch.setattr(linededup, "_by_length", lambda *a, real=linededup._by_length: cuts.append(a) or real(*a))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), few=20).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows)
+    assert bool(cuts) == (at_once == 0)
+
+
 def test_every_name_and_id_of_documents(spark):
     rows = [(None, "no id has this line too", 1, 1, 1), (2**63 - 1, "no id has this line too", 2, 2, 2), (5, "short", 3, 3, 3), (6, "short\nshort", 4, 4, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int, doc int, `kept.of` int")
