@@ -3,7 +3,9 @@
 Nothing here holds a tree in one task: path lengths come from pointer doubling,
 in as many rounds as the depth has binary digits, and what lies below a node
 from sums that double their reach in each round.  A round joins and groups by
-node; Spark splits the rows of a node with very many children.
+node; Spark splits the rows of a node with very many children.  Joins by node
+are merged, as both sides grow with the table and what is broadcast is built in
+the driver; only those by tree are left to Spark.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def depths(edges: DataFrame) -> DataFrame:
             raise ValueError("edges go round")
         rounds -= 1
         up = anc.select("grp", F.col("node").alias("anc"), F.col("anc").alias("_anc"), F.col("dist").alias("_dist"), F.col("hops").alias("_hops"), F.col("root").alias("_root"))
-        met = anc.where("anc is not null").join(up, ["grp", "anc"], "left")
+        met = anc.where("anc is not null").join(up.hint("merge"), ["grp", "anc"], "left")
         lost = F.when(F.col("_hops").isNull(), F.raise_error(F.concat(F.lit("no node is the parent "), F.col("anc").cast("string")))).otherwise(F.col("_anc"))
         met = met.select("grp", "node", lost.alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_root").alias("root"))
         anc = written(met.unionByName(anc.where("anc is null").select(met.columns)), "depths")
@@ -84,20 +86,20 @@ def below(edges: DataFrame, hops: DataFrame, values: dict[str, tuple[Column, obj
     """
     cells = list(values)
     rows = edges.select("grp", "node", F.col("parent").alias("anc"), *(v.alias(c) for c, (v, _) in values.items()))
-    rows, reach = written(rows.join(hops.select("grp", "node", "hops"), ["grp", "node"]), "below"), 1
+    rows, reach = written(rows.join(hops.select("grp", "node", "hops").hint("merge"), ["grp", "node"]), "below"), 1
     while not rows.where(F.col("hops") >= reach).isEmpty():
         more = rows.where("anc is not null").select("grp", F.col("anc").alias("node"), *cells)
         sums = rows.select("grp", "node", *cells).unionByName(more).groupBy("grp", "node").agg(*(values[c][1](c).alias(c) for c in cells))
         # Only nodes that are deeper have a node so far up.
-        up = rows.where(F.col("hops") >= 2 * reach).select("grp", "node", "anc").join(rows.select("grp", F.col("node").alias("anc"), F.col("anc").alias("_anc")), ["grp", "anc"]).select("grp", "node", F.col("_anc").alias("anc"))
-        rows = written(rows.select("grp", "node", "hops").join(sums, ["grp", "node"]).join(up, ["grp", "node"], "left").select("grp", "node", "anc", "hops", *cells), "below")
+        up = rows.where(F.col("hops") >= 2 * reach).select("grp", "node", "anc").join(rows.select("grp", F.col("node").alias("anc"), F.col("anc").alias("_anc")).hint("merge"), ["grp", "anc"]).select("grp", "node", F.col("_anc").alias("anc"))
+        rows = written(rows.select("grp", "node", "hops").join(sums.hint("merge"), ["grp", "node"]).join(up.hint("merge"), ["grp", "node"], "left").select("grp", "node", "anc", "hops", *cells), "below")
         reach *= 2
     return rows.select("grp", "node", *cells)
 
 
 def tips(edges: DataFrame) -> DataFrame:
     """The rows of nodes that are no node's parent."""
-    return edges.join(edges.select("grp", F.col("parent").alias("node")).where("node is not null").distinct(), ["grp", "node"], "left_anti")
+    return edges.join(edges.select("grp", F.col("parent").alias("node")).where("node is not null").distinct().hint("merge"), ["grp", "node"], "left_anti")
 
 
 def split_names(edges: DataFrame) -> DataFrame:
@@ -109,9 +111,11 @@ def split_names(edges: DataFrame) -> DataFrame:
     are.  Edges with fewer than two tips on a side have a null ``split``.
     """
     tip = tips(edges).select("grp", "node", F.xxhash64("name").alias("hash"), F.lit(1).cast("long").alias("one"))
-    marked = edges.select("grp", "node", "parent").join(tip, ["grp", "node"], "left")
+    marked = edges.select("grp", "node", "parent").join(tip.hint("merge"), ["grp", "node"], "left")
     sums = below(marked, depths(edges), {"hash": (F.coalesce("hash", F.lit(0).cast("long")), F.bit_xor), "tips": (F.coalesce("one", F.lit(0).cast("long")), F.sum)})
-    whole = sums.join(edges.where("parent is null").select("grp", "node"), ["grp", "node"]).select("grp", F.col("hash").alias("_all"), F.col("tips").alias("_tips"))
+    whole = sums.join(edges.where("parent is null").select("grp", "node").hint("merge"), ["grp", "node"]).select("grp", F.col("hash").alias("_all"), F.col("tips").alias("_tips"))
+    # Written, so that few trees' are known to be small and no tree's rows come together in one task.
+    whole = written(whole, "whole")
     size = F.least(F.col("tips"), F.col("_tips") - F.col("tips"))
     name = F.when(size > 1, F.least(F.col("hash"), F.col("hash").bitwiseXOR(F.col("_all"))))
     return sums.join(whole, "grp").select("grp", "node", name.alias("split"), size.alias("size"))
@@ -126,19 +130,19 @@ def split_support(edges: DataFrame) -> DataFrame:
 
 def annotated(edges: DataFrame, support: DataFrame) -> DataFrame:
     """``edges`` with ``support``, that of each edge's bipartition in ``(split, support)``; null where that has none."""
-    named = split_names(edges).join(support.select("split", "support"), "split", "left").select("grp", "node", "support")
-    return edges.join(named, ["grp", "node"], "left")
+    named = split_names(edges).join(support.select("split", "support").hint("merge"), "split", "left").select("grp", "node", "support")
+    return edges.join(named.hint("merge"), ["grp", "node"], "left")
 
 
 def _climb(edges: DataFrame, marked: DataFrame) -> DataFrame:
     """``(grp, node, meet, climb)``: the first of the ``marked`` nodes ``(grp, node)`` at or above each node, and how far up it is."""
-    known = edges.join(marked.withColumn("_m", F.lit(True)), ["grp", "node"], "left")
+    known = edges.join(marked.withColumn("_m", F.lit(True)).hint("merge"), ["grp", "node"], "left")
     stop = F.col("_m").isNotNull() | F.col("parent").isNull()
     anc = known.select("grp", "node", F.when(stop, F.lit(None)).otherwise(F.col("parent")).alias("anc"), F.when(stop, 0.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("climb"), F.when(F.col("_m").isNotNull(), F.col("node")).alias("meet"))
     anc = written(anc, "climb")
     while not anc.where("anc is not null").isEmpty():
         up = anc.select("grp", F.col("node").alias("anc"), F.col("anc").alias("_anc"), F.col("climb").alias("_climb"), F.col("meet").alias("_meet"))
-        met = anc.where("anc is not null").join(up, ["grp", "anc"]).select("grp", "node", F.col("_anc").alias("anc"), (F.col("climb") + F.col("_climb")).alias("climb"), F.col("_meet").alias("meet"))
+        met = anc.where("anc is not null").join(up.hint("merge"), ["grp", "anc"]).select("grp", "node", F.col("_anc").alias("anc"), (F.col("climb") + F.col("_climb")).alias("climb"), F.col("_meet").alias("meet"))
         anc = written(met.unionByName(anc.where("anc is null").select(met.columns)), "climb")
     return anc.select("grp", "node", "meet", "climb")
 
@@ -146,7 +150,7 @@ def _climb(edges: DataFrame, marked: DataFrame) -> DataFrame:
 def _path(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """``(grp, node)`` of all nodes from each of ``ends`` ``(grp, node)`` up to the root."""
     on = ends.select("grp", "node", F.lit(1).cast("long").alias("one"))
-    marked = edges.select("grp", "node", "parent").join(on, ["grp", "node"], "left")
+    marked = edges.select("grp", "node", "parent").join(on.hint("merge"), ["grp", "node"], "left")
     return below(marked, depths(edges), {"ends": (F.coalesce("one", F.lit(0).cast("long")), F.sum)}).where("ends > 0").select("grp", "node")
 
 
@@ -159,11 +163,11 @@ def farthest_tips(edges: DataFrame) -> DataFrame:
     leaf = tips(edges).select("grp", "node", "name")
     dist = depths(edges)
     best = lambda c: F.min_by(F.struct("node", c), F.struct(-F.col(c), F.col("name"), F.col("node"))).alias("x")
-    one = written(leaf.join(dist, ["grp", "node"]).groupBy("grp").agg(best("dist")).select("grp", F.col("x.node").alias("node"), F.col("x.dist").alias("top")), "end")
+    one = written(leaf.join(dist.hint("merge"), ["grp", "node"]).groupBy("grp").agg(best("dist")).select("grp", F.col("x.node").alias("node"), F.col("x.dist").alias("top")), "end")
     path = written(_path(edges, one), "path")
-    met = _climb(edges, path).join(dist.select("grp", F.col("node").alias("meet"), F.col("dist").alias("meet_dist")), ["grp", "meet"])
+    met = _climb(edges, path).join(dist.select("grp", F.col("node").alias("meet"), F.col("dist").alias("meet_dist")).hint("merge"), ["grp", "meet"])
     met = met.join(one.select("grp", F.col("node").alias("a"), "top"), "grp").withColumn("a_dist", F.col("top") - F.col("meet_dist"))
-    ends = leaf.join(met, ["grp", "node"]).withColumn("apart", F.col("a_dist") + F.col("climb"))
+    ends = leaf.join(met.hint("merge"), ["grp", "node"]).withColumn("apart", F.col("a_dist") + F.col("climb"))
     far = F.min_by(F.struct("a", F.col("node").alias("b"), "meet", "a_dist", F.col("climb").alias("b_dist")), F.struct(-F.col("apart"), F.col("name"), F.col("node")))
     return ends.groupBy("grp").agg(far.alias("x")).select("grp", "x.*")
 
@@ -182,14 +186,14 @@ def midpoint_root(edges: DataFrame, with_edge: tuple[str, ...] = ()) -> DataFram
     deep = F.col("a_dist") >= F.col("half")
     ends = written(ends.select("grp", F.when(deep, F.col("a")).otherwise(F.col("b")).alias("node"), "half"), "deep-end")
     dist = written(depths(edges).select("grp", "node", "dist"), "dist")
-    low = dist.join(ends, ["grp", "node"]).select("grp", F.col("dist").alias("low"), "half")
-    line = _path(edges, ends).join(dist, ["grp", "node"]).join(low, "grp").withColumn("up", F.col("low") - F.col("dist"))
+    low = dist.join(ends.hint("merge"), ["grp", "node"]).select("grp", F.col("dist").alias("low"), "half")
+    line = _path(edges, ends).join(dist.hint("merge"), ["grp", "node"]).join(low, "grp").withColumn("up", F.col("low") - F.col("dist"))
     # The highest node that isn't beyond the middle, and how much of its edge lies below the middle.
     at = line.where("up <= half").groupBy("grp").agg(F.max_by(F.struct("node", (F.col("half") - F.col("up")).alias("rest")), F.struct("up", -F.col("dist"))).alias("x"))
     at = written(at.select("grp", F.col("x.node").alias("mid"), F.col("x.rest").alias("rest")), "middle")
     # The nodes whose edges turn round: the middle's ancestors, and itself if it becomes the root.
     line = written(_path(edges, at.select("grp", F.col("mid").alias("node"))), "turned")
-    own = edges.join(line.withColumn("_on", F.lit(True)), ["grp", "node"], "left").join(at, "grp", "left")
+    own = edges.join(line.withColumn("_on", F.lit(True)).hint("merge"), ["grp", "node"], "left").join(at, "grp", "left")
     own = written(own, "placed")
     becomes, inside = F.col("rest") == 0, F.col("node") == F.col("mid")
     turned = own.where("_on and parent is not null")
@@ -197,7 +201,7 @@ def midpoint_root(edges: DataFrame, with_edge: tuple[str, ...] = ()) -> DataFram
     split = turned.where(inside & ~becomes)
     upper = split.select("grp", F.col("parent").alias("node"), F.lit(-1).alias("_parent"), (F.col("length") - F.col("rest")).alias("_length"), *(F.col(c).alias(f"_{c}") for c in with_edge))
     over = flipped.unionByName(upper)
-    kept = own.join(over, ["grp", "node"], "left")
+    kept = own.join(over.hint("merge"), ["grp", "node"], "left")
     on = F.coalesce(F.col("_on"), F.lit(False))
     new_parent = F.when(on & inside, F.when(becomes, F.lit(None)).otherwise(F.lit(-1))).when(on, F.col("_parent")).otherwise(F.col("parent"))
     new = {"length": F.when(on & inside, F.when(~becomes, F.col("rest"))).when(on, F.col("_length")).otherwise(F.col("length"))}
@@ -208,8 +212,8 @@ def midpoint_root(edges: DataFrame, with_edge: tuple[str, ...] = ()) -> DataFram
     rows = written(rows.unionByName(fresh), "rerooted")
     # An old root with one child is no node any more; its edge is added to the child's.
     kids = rows.groupBy("grp", "parent").agg(F.count("*").alias("kids"))
-    gone = rows.where("_root and _moved and parent is not null").join(kids.withColumnRenamed("parent", "node"), ["grp", "node"]).where("kids = 1")
+    gone = rows.where("_root and _moved and parent is not null").join(kids.withColumnRenamed("parent", "node").hint("merge"), ["grp", "node"]).where("kids = 1")
     gone = written(gone.select("grp", F.col("node").alias("parent"), F.col("parent").alias("_above"), F.col("length").alias("_more")), "gone")
-    done = rows.join(gone.select("grp", F.col("parent").alias("node")), ["grp", "node"], "left_anti").join(gone, ["grp", "parent"], "left")
+    done = rows.join(gone.select("grp", F.col("parent").alias("node")).hint("merge"), ["grp", "node"], "left_anti").join(gone.hint("merge"), ["grp", "parent"], "left")
     longer = F.when(F.col("_above").isNotNull(), F.col("length") + F.coalesce("_more", F.lit(0.0))).otherwise(F.col("length"))
     return done.select("grp", "node", F.coalesce("_above", "parent").alias("parent"), *others, longer.alias("length"), *with_edge).select(*edges.columns)

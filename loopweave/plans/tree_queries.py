@@ -75,7 +75,7 @@ def S17_newick_round_trip(spark, sf_dir):
     texts = parts.groupBy("grp").agg(F.concat(F.lit("("), joined("part"), F.lit(")'all of "), F.first("grp"), F.lit("';")).alias("tree"))
     found = edges.read_newick(texts)
     above = found.select("grp", F.col("node").alias("parent"), F.col("name").alias("above"))
-    return found.join(above, ["grp", "parent"], "left").select("grp", "name", F.col("above").alias("parent"), "length")
+    return found.join(above.hint("merge"), ["grp", "parent"], "left").select("grp", "name", F.col("above").alias("parent"), "length")
 
 
 _HEAP = "e AS (SELECT c_custkey // 100 AS grp, c_custkey % 100 + 1 AS node, CASE WHEN c_custkey % 100 > 0 THEN (c_custkey % 100 + 1) // 2 END AS parent, c_name AS name, 1.0::DOUBLE + c_nationkey AS length FROM customer)"
@@ -102,7 +102,7 @@ def C7_path_lengths(spark, sf_dir):
 def C7_midpoint_root(spark, sf_dir):
     """How far each tip is from the root that lies between the two that are farthest apart."""
     found = edges.midpoint_root(_heaps(spark, sf_dir))
-    return rounded(edges.tips(found).select("grp", "node", "name").join(edges.depths(found), ["grp", "node"]).select("grp", "name", "dist"))
+    return rounded(edges.tips(found).select("grp", "node", "name").join(edges.depths(found).hint("merge"), ["grp", "node"]).select("grp", "name", "dist"))
 
 
 @query("""WITH r AS (SELECT unnest([1, 2, 3, 4, 5]) AS r), t AS (SELECT r, c_custkey AS c, c_custkey % (2 + r % 3) AS x, c_custkey // 100 AS y FROM customer, r),

@@ -366,3 +366,19 @@ def test_split_kernel_agrees_with_split_names(spark):
     root = ({p for _, p, _ in tree} - {c for c, _, _ in tree}).pop()
     got = E.split_names(frame(spark, {1: [*rows, (root, None, names[root] if root < 9 else None, None)]}))
     assert got.where("split is not null").select("split").distinct().count() == len(kernel.splits(tree, 9))
+
+
+def _plans(monkeypatch, module):
+    """The plans of all that the module writes from now on, as first made."""
+    plans = []
+    monkeypatch.setattr(module, "written", lambda df, label, real=module.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    return plans
+
+
+def test_joins_by_node_send_nothing_to_the_driver(spark, monkeypatch):
+    plans = _plans(monkeypatch, E)
+    rows = spark.createDataFrame([("t", k, k // 2 if k > 1 else None, f"n{k}", 1.0) for k in range(1, 8)], "grp string, node int, parent int, name string, length double")
+    rows = E.written(rows, "rows")
+    hops = E.depths(rows)
+    E.below(rows, hops, {"n": (F.lit(1).cast("long"), F.sum)})
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in x for x in plans)
