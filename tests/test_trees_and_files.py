@@ -382,3 +382,14 @@ def test_joins_by_node_send_nothing_to_the_driver(spark, monkeypatch):
     hops = E.depths(rows)
     E.below(rows, hops, {"n": (F.lit(1).cast("long"), F.sum)})
     assert len(plans) > 4 and not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_long_pairs_do_not_enter_the_forest(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 5.0), (4, 4, 0.0), (5, 4, float("nan")), (7, 6, 2.0), (2, 1, 9.0), (8, None, 1.0), (9, 10, None)], "a int, b int, dist double")
+    plans = _plans(monkeypatch, forest)
+    seen = []
+    real = forest.spanning_forest
+    monkeypatch.setattr(forest, "spanning_forest", lambda rows: seen.append(rows.where("dist > 2").count()) or real(rows))
+    got = {r["name"]: r["cluster"] for r in forest.single_linkage(pairs, height=2.0).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 9: 9, 10: 10}
+    assert seen == [0] and not any("BroadcastHashJoin" in x for x in plans)
