@@ -9,7 +9,7 @@ from loopweave.operators import edges, forest, landmarks
 from loopweave.plans import adapters as A
 from loopweave.plans.queries import query, rounded
 from loopweave.sources import flat, staging
-from loopweave.sources.places import new_dir
+from loopweave.sources.places import new_dir, written
 
 _HEADER = "CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, 'und') || ' ' || coalesce(source, 'none')"
 
@@ -111,12 +111,14 @@ def C7_midpoint_root(spark, sf_dir):
     k AS (SELECT name, size, count(*) AS trees FROM side WHERE size > 1 GROUP BY ALL) SELECT size, trees, count(*) AS splits, round(avg(trees / 5.0), 6) AS support FROM k GROUP BY ALL""")
 def U6_split_support(spark, sf_dir):
     """Five trees of all customers, by remainders and ranges of their keys, and in how many of them each bipartition occurs."""
-    keys = A.read(spark, sf_dir, "customer").select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("grp"), F.col("c_custkey").alias("key"))
+    # Keys are dealt out before trees are made of them, so that no task holds all nodes of a file's customers.
+    keys = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.expr("c_custkey div 100").alias("block")).repartition("block").distinct()
+    keys = keys.select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("grp"), "key")
     x, y = F.expr("key % (2 + grp % 3)"), F.expr("key div 100")
     named = keys.select("grp", F.concat(F.lit("t"), "key").alias("tip"), F.concat(F.lit("x"), x).alias("x"), F.concat(F.lit("y"), x, F.lit("-"), y).alias("y"))
-    edge = lambda node, parent, name: named.select("grp", node.alias("node"), parent.alias("parent"), name.cast("string").alias("name"), F.lit(1.0).alias("length")).distinct()
-    rows = edge(F.col("tip"), F.col("y"), F.col("tip")).unionByName(edge(F.col("y"), F.col("x"), F.lit(None))).unionByName(edge(F.col("x"), F.lit("root"), F.lit(None)))
-    rows = rows.unionByName(edge(F.lit("root"), F.lit(None).cast("string"), F.lit(None)))
+    edge = lambda node, parent, name: named.select("grp", node.alias("node"), parent.alias("parent"), name.cast("string").alias("name"), F.lit(1.0).alias("length"))
+    rows = edge(F.col("tip"), F.col("y"), F.col("tip")).unionByName(edge(F.col("y"), F.col("x"), F.lit(None)).distinct()).unionByName(edge(F.col("x"), F.lit("root"), F.lit(None)).distinct())
+    rows = written(rows.unionByName(edge(F.lit("root"), F.lit(None).cast("string"), F.lit(None)).distinct()), "edges")
     return rounded(edges.split_support(rows).groupBy("size", "trees").agg(F.count("*").alias("splits"), F.avg("support").alias("support")))
 
 
