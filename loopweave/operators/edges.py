@@ -18,6 +18,8 @@ from loopweave.sources.places import written
 #: Quoted labels, comments, marks and plain labels of tree texts.
 TOKENS = r"'(?:[^']|'')*'|\[[^\]]*\]|[(),;:]|[^\s(),;:'\[\]]+"
 MARKS = ["(", ")", ",", ";", ":"]
+#: Characters of tree texts that a task is to have.
+TASK_CHARS = 1 << 19
 
 
 def read_newick(texts: DataFrame, text: str = "tree", by: str = "grp") -> DataFrame:
@@ -29,7 +31,10 @@ def read_newick(texts: DataFrame, text: str = "tree", by: str = "grp") -> DataFr
     The node around another is the last bracket opened one level further out.
     """
     found = F.filter(F.regexp_extract_all(text, F.lit(TOKENS), 0), lambda x: ~x.startswith("["))
-    rows = texts.select(F.col(by).alias("grp"), F.posexplode(found).alias("pos", "tok")).where("tok <> ';'")
+    texts = written(texts.select(F.col(by).alias("grp"), F.col(text).alias(text)), "texts")
+    tasks = -(-(texts.agg(F.sum(F.length(text))).first()[0] or 0) // TASK_CHARS)
+    # By how much text there is, as tokens take many times its room and stay in one task with those of their tree.
+    rows = texts.repartition(max(1, tasks), "grp").select("grp", F.posexplode(found).alias("pos", "tok")).where("tok <> ';'")
     along, all_ = Window.partitionBy("grp").orderBy("pos"), Window.partitionBy("grp")
     step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
     ahead = {f"next{k}": F.lead("tok", k).over(along) for k in (1, 2, 3)}

@@ -393,3 +393,12 @@ def test_long_pairs_do_not_enter_the_forest(spark, monkeypatch):
     got = {r["name"]: r["cluster"] for r in forest.single_linkage(pairs, height=2.0).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 9: 9, 10: 10}
     assert seen == [0] and not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_tree_texts_are_dealt_out_by_their_size(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"t{k}", f"((a:1,b{k}:2)x:3,c);") for k in range(20)], "grp string, tree string")
+    want = sorted(map(tuple, E.read_newick(texts).collect()), key=str)
+    monkeypatch.setattr(E, "TASK_CHARS", 30)
+    found = E.read_newick(texts)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == want and len(want) == 100
