@@ -1,6 +1,6 @@
 import random
 
-from loopweave.llm import simhash
+from loopweave.llm import components, shingles as sets, simhash
 
 
 def shingles(text, k=5):
@@ -83,3 +83,50 @@ def test_simhashes_come_first_and_are_checked(spark, monkeypatch):
         got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4, 5]
     assert seen == [sorted(simhash.fingerprint((t or "").encode(), 4) for _, t in rows)] * 2
+
+
+def test_plans_of_a_job_are_few(spark, monkeypatch):
+    """The driver keeps what a session has run, so its memory grows with the number of plans."""
+    rng = random.Random(3)
+    rows = []
+    for b in range(40):
+        words = [f"w{b}_{i}" for i in range(80)]
+        rows.append(" ".join(words))
+        for _ in range(5):
+            words[rng.randrange(80)] = "other"
+            rows.append(" ".join(words))
+    written, whole = [], components.materialize
+
+    def count(df, label):
+        written.append(label)
+        return whole(df, label)
+
+    for module in (components, sets, simhash):
+        monkeypatch.setattr(module, "materialize", count)
+    pairs = spark.createDataFrame([(i, i % 3) for i in range(3, 90)], "a long, b long")
+    got = dict(map(tuple, components.connected_components(pairs).collect()))
+    assert got == {i: i % 3 for i in range(90)}
+    assert len(written) == 3  # the links and one round's halves; none to see that nothing changes
+    written.clear()
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == kept_by_brute_force(list(enumerate(rows)))
+    assert sum(x in ("close", "rooted") for x in written) <= 4  # SimHashes' candidates, hubs and the rest
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(1000, 1040)]
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + chain + [(7, 7), (None, 3), (4, None)] + [(500, i) for i in range(400, 460)]
+    group = {}
+
+    def find(i):
+        while group.setdefault(i, i) != i:
+            i = group[i]
+        return i
+
+    for a, b in some:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            group[y] = x
+    got = [tuple(r) for r in components.connected_components(spark.createDataFrame(some, "a long, b long")).collect()]
+    assert sorted(got) == sorted((i, find(i)) for i in group)
